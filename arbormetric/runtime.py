@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and return a reader of it.
+    """Write ``df`` to the cluster's checkpoint folder and return a reader of the written table.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  A folder of our own is set
-    only where that is unset and the session runs on this machine alone.
+    ``DataFrame.checkpoint`` keeps the constraints of the plan it replaces, and those double with
+    every round of a loop of joins; a written table starts afresh and also survives the loss of
+    executors.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{_checkpoint_dir(spark)}/arbormetric-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and
+    the session runs on this machine alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="arbormetric-checkpoint-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arbormetric-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
