@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from arbormetric.functions.tails import f_upper_p_even, f_upper_p_odd, normal_two_sided_p
 from arbormetric.operators.ordering import cumulative_counts
-from arbormetric.operators.ranking import average_rank, mean_rank
+from arbormetric.operators.ranking import average_rank
+from arbormetric.runtime import cut_lineage
 
 EXACT_LIMIT = 30
 
@@ -39,6 +40,7 @@ def friedman(scores: DataFrame) -> DataFrame:
         .withColumn("d1", s - 1)
         .withColumn("d2", (s - 1) * (l - 1))
     )
+    tested = cut_lineage(tested)  # One row.
     columns = ["s", "l", "chi2", "f", "p"]
     even = tested.filter("d1 % 2 = 0").withColumn(
         "p", f_upper_p_even(F.col("f"), F.col("d1"), F.col("d2"))
@@ -128,9 +130,8 @@ def wilcoxon_pairs(scores: DataFrame, both: bool = False) -> DataFrame:
 def both_orders(pairs: DataFrame) -> DataFrame:
     """Add every pair in the opposite order."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest)
-    )
+    orders = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(F.explode(orders).alias("_o"), *rest).select("_o.a", "_o.b", *rest)
 
 
 def rank_z(scores: DataFrame) -> DataFrame:
@@ -166,6 +167,7 @@ def hommel(pvals: DataFrame, control: str | None = None) -> DataFrame:
     ranked = _by_control(pvals)
     if control is not None:
         ranked = ranked.filter(F.col("control") == control)
+    ranked = cut_lineage(ranked)  # One row per ordered pair of methods.
     p, i, j, n = F.col("p"), F.col("i"), F.col("j"), F.col("n")
     bounds = (
         ranked.withColumn("j", F.explode(F.sequence(n - i + 1, n)))
@@ -212,7 +214,7 @@ def true_hypothesis_counts(methods: DataFrame) -> DataFrame:
 
 def shaffer(pvals: DataFrame) -> DataFrame:
     """Static Shaffer procedure: ``(a, b, p, adjusted)``."""
-    pairs = pvals.select("a", "b", "p")
+    pairs = cut_lineage(pvals.select("a", "b", "p"))
     methods = pairs.select(F.explode(F.array("a", "b")).alias("method")).distinct()
     s = methods.select(F.count("*")).scalar()
     n = pairs.select(F.count("*")).scalar()

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from arbormetric.functions.mapping_kernel import Side, tile_distances
-from arbormetric.operators.nodes import canonical_trees, tree_arrays, tree_nodes
 from arbormetric.functions.treetext import tree_reference
+from arbormetric.operators.nodes import canonical_trees, tree_arrays, tree_nodes
 from arbormetric.operators.pairs import BUDGET, pair_tiles
 from arbormetric.operators.paths import path_distances
 from arbormetric.operators.variants import NO_AGREEMENT, Variant
+from arbormetric.runtime import cut_lineage
 
 
 def mapping_distances(
@@ -64,8 +65,11 @@ def mapping_distances(
 def structure_distances(
     distinct: DataFrame, variants: list[Variant], budget: int = BUDGET, key: str = "ref"
 ) -> DataFrame:
-    """``(target, i, j, d)`` over distinct structures ``(key, tree)``."""
-    arrays = tree_arrays(tree_nodes(distinct.select(key, "tree"), key), key)
+    """``(target, i, j, d)`` over distinct structures ``(key, tree)``.
+
+    The structures are written once; whatever they come from is read once.
+    """
+    arrays = cut_lineage(tree_arrays(tree_nodes(distinct.select(key, "tree"), key), key))
     paths = [v for v in variants if v.shape == "p"]
     others = [v for v in variants if v.shape != "p"]
     parts = []
@@ -111,8 +115,10 @@ def tree_distances(
     of trees, so for many trees with few structures use ``structure_distances`` and counts.
     """
     variants = variants or [Variant(shape, gap, exact, weight)]
-    named = canonical_trees(trees).select(
-        "tree_id", tree_reference(F.col("tree")).alias("ref"), "tree"
+    named = cut_lineage(
+        canonical_trees(trees).select(
+            "tree_id", tree_reference(F.col("tree")).alias("ref"), "tree"
+        )
     )
     distinct = named.select("ref", "tree").distinct()
     between = structure_distances(distinct, variants, budget)

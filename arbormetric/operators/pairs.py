@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arbormetric.runtime import cut_lineage
+
 BUDGET = 4000
 
 
@@ -58,7 +60,7 @@ def pair_tiles(
 
 def all_pairs(items: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     """``(i, j)`` with i < j for every unordered pair, by an equi-join on the tile."""
-    tiles = pair_tiles(items.select(key), key, budget)
+    tiles = pair_tiles(cut_lineage(items.select(key)), key, budget)
     left = tiles.filter("block = bi").select("bi", "bj", F.col(key).alias("x"))
     right = tiles.filter("block = bj").select("bi", "bj", F.col(key).alias("y"))
     ordered = (F.col("bi") < F.col("bj")) | (F.col("x") < F.col("y"))
@@ -71,11 +73,15 @@ def all_pairs(items: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
 
 def symmetric(dist: DataFrame) -> DataFrame:
     """Both orders of every pair and a zero diagonal, per target."""
-    keys = ["target"] if "target" in dist.columns else []
-    swapped = dist.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "d")
-    ids = dist.select(*keys, F.explode(F.array("i", "j")).alias("i")).distinct()
-    diagonal = ids.select(*keys, "i", F.col("i").alias("j"), F.lit(0.0).alias("d"))
-    return dist.select(*keys, "i", "j", "d").unionByName(swapped).unionByName(diagonal)
+    dist = cut_lineage(dist.select("target", "i", "j", "d"))
+    orders = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    square = dist.select("target", F.explode(orders).alias("_o"), "d").select(
+        "target", "_o.i", "_o.j", "d"
+    )
+    ids = dist.select("target", F.explode(F.array("i", "j")).alias("i")).distinct()
+    return square.unionByName(
+        ids.select("target", "i", F.col("i").alias("j"), F.lit(0.0).alias("d"))
+    )
 
 
 def lower_triangle(square: DataFrame) -> DataFrame:

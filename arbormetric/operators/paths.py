@@ -171,8 +171,7 @@ def common_path_levels(arrays: DataFrame, key: str) -> DataFrame:
     A loop of equi-joins, one per path length, that stops at the first empty level; it starts
     from pairs of classes with equal labels.
     """
-    classes, _ = label_trie(arrays, key)
-    classes = cut_lineage(classes)
+    classes = cut_lineage(label_trie(arrays, key)[0])
     left = classes.select(F.col("node").alias("u"), F.col("above").alias("above_u"), "label")
     right = classes.select(F.col("node").alias("v"), F.col("above").alias("above_v"), "label")
     matched = cut_lineage(left.join(right, "label").drop("label"))
@@ -190,6 +189,7 @@ def common_path_levels(arrays: DataFrame, key: str) -> DataFrame:
 
 def common_path_lengths(arrays: DataFrame, key: str) -> DataFrame:
     """``(i, j, length)``: longest common contiguous downward label path of tree pairs, i < j."""
+    arrays = cut_lineage(arrays)
     _, members = label_trie(arrays, key)
     ends = common_path_levels(arrays, key)
     half = (

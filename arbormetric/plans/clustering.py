@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbormetric.functions.treetext import tree_reference
 from arbormetric.operators.clustering import cut, hac
 from arbormetric.operators.distances import structure_distances
 from arbormetric.operators.evaluation import agreement, best_per_target, contingency, pivot_by_k
 from arbormetric.operators.nodes import canonical_trees
 from arbormetric.operators.variants import Variant
-from arbormetric.functions.treetext import tree_reference
+from arbormetric.runtime import cut_lineage
 
 
 def compare_targets(
@@ -22,8 +23,9 @@ def compare_targets(
 ) -> dict[str, DataFrame]:
     """Cluster every target, cut at k = 2..k_max and score each cut against the classes."""
     merges = hac(dist, link, weights)
+    merges = cut_lineage(merges)
     assigned = cut(merges, k_max)
-    scores = agreement(contingency(assigned, classes))
+    scores = cut_lineage(agreement(contingency(assigned, classes)))
     return {
         "merges": merges,
         "assigned": assigned,
@@ -42,7 +44,7 @@ def compare_tree_distances(
     Trees are counted by structure and class first.  Everything quadratic runs over distinct
     structures, which stand for their trees by weight; the trees themselves are read once.
     """
-    counted = (
+    counted = cut_lineage(
         canonical_trees(trees)
         .groupBy("tree", "class")
         .agg(F.count("*").alias("n"))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 
 from arbormetric.operators import comparison as C
 from arbormetric.operators import ranking as R
+from arbormetric.runtime import cut_lineage
 
 
 def compare_methods(scores: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     """Gate the scores, then ranks, Friedman, signed-rank, z, Hommel, Shaffer and BH tables."""
-    gated = R.complete_datasets(scores, strict=strict)
+    gated = cut_lineage(R.complete_datasets(scores, strict=strict))
     ranks = R.average_rank(gated)
-    wilcoxon = C.wilcoxon_pairs(gated)
-    z = C.rank_z(gated)
+    wilcoxon = cut_lineage(C.wilcoxon_pairs(gated))
+    z = cut_lineage(C.rank_z(gated))
     return {
         "summary": R.score_summary(gated),
         "ranks": ranks,

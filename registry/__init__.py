@@ -1,5 +1,5 @@
 """Queries registered with the driver, grouped by area."""
 
-from registry import comparison
+from registry import comparison, trees
 
-MODULES = [comparison]
+MODULES = [comparison, trees]

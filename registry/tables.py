@@ -32,3 +32,136 @@ def scores_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, F.col("user_id"))
+
+
+def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree per order: status, its return flags, the line statuses of each flag.
+
+    A tree has at most nine nodes however many lines an order has: lines are reduced to their
+    distinct flag and status before anything is collected.
+    """
+    kinds = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_set(F.struct("l_returnflag", "l_linestatus"))).alias("kinds"))
+    )
+    flags = F.array_distinct(F.transform("kinds", lambda k: k["l_returnflag"]))
+    below = F.transform(
+        flags,
+        lambda flag: F.concat(
+            flag,
+            F.lit("("),
+            F.array_join(
+                F.transform(
+                    F.filter("kinds", lambda k: k["l_returnflag"] == flag),
+                    lambda k: k["l_linestatus"],
+                ),
+                ", ",
+            ),
+            F.lit(")"),
+        ),
+    )
+    return (
+        table(spark, sf_dir, "orders")
+        .join(kinds, F.col("o_orderkey") == F.col("l_orderkey"))
+        .select(
+            F.col("o_orderkey").alias("tree_id"),
+            F.col("o_orderpriority").alias("class"),
+            F.concat(
+                "o_orderstatus", F.lit(" ("), F.array_join(below, " "), F.lit(")")
+            ).alias("tree"),
+        )
+    )
+
+
+def nation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree per nation: market segments by orders, and below each its frequent priorities."""
+    counts = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", "c_mktsegment", F.substring("o_orderpriority", 1, 1).alias("p"))
+        .agg(F.count("*").alias("n"))
+    )
+    # At most 25 rows per nation from here on.
+    segments = counts.groupBy("c_nationkey", "c_mktsegment").agg(
+        F.sum("n").alias("total"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "p"))).alias("ps"),
+    )
+    leaves = F.transform(
+        F.filter("ps", lambda x: -x["order"] * 5 >= F.col("total")), lambda x: x["p"]
+    )
+    child = F.concat("c_mktsegment", F.lit("("), F.array_join(leaves, ","), F.lit(")"))
+    trees = segments.groupBy("c_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("order"), child.alias("t"))))
+        .alias("children")
+    )
+    nations = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    return trees.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_nationkey").cast("long").alias("tree_id"),
+        F.col("r_name").alias("class"),
+        F.concat(
+            F.lit("N("), F.array_join(F.transform("children", lambda c: c["t"]), ","), F.lit(")")
+        ).alias("tree"),
+    )
+
+
+def brand_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(target, i, j, d)`` between brands by mean quantity, discount and tax per flag and status.
+
+    All lines go into 25 profiles per target; means are exact sums over counts.
+    """
+    brand = F.substring_index("p_brand", "#", -1).cast("long")
+    profiles = (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.concat("l_returnflag", "l_linestatus").alias("target"), brand.alias("id"))
+        .agg(
+            (F.sum(F.col("l_quantity").cast("long")) / (F.count("*") * F.lit(1.0))).alias("x"),
+            (F.sum(cents("l_discount")) / (F.count("*") * F.lit(1.0))).alias("y"),
+            (F.sum(cents("l_tax")) / (F.count("*") * F.lit(1.0))).alias("z"),
+        )
+    )
+    a = profiles.withColumnsRenamed({"id": "i", "x": "xi", "y": "yi", "z": "zi"})
+    b = profiles.withColumnsRenamed({"id": "j", "x": "xj", "y": "yj", "z": "zj"})
+
+    def square(c: str):
+        gap = F.col(f"{c}i") - F.col(f"{c}j")
+        return gap * gap
+
+    return (
+        a.join(b, "target")
+        .filter("i < j")
+        .select("target", "i", "j", F.sqrt(square("x") + square("y") + square("z")).alias("d"))
+    )
+
+
+def brand_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of a brand: its most frequent part type."""
+    brand = F.substring_index("p_brand", "#", -1).cast("long")
+    counts = (
+        table(spark, sf_dir, "part").groupBy(brand.alias("id"), "p_type").agg(F.count("*").alias("n"))
+    )
+    return counts.groupBy("id").agg(
+        F.min(F.struct((-F.col("n")).alias("order"), "p_type"))["p_type"].alias("class")
+    )
+
+
+def order_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Flat clusterings of all orders (by status, by month and by price) and their priorities."""
+    orders = table(spark, sf_dir, "orders")
+    price = F.floor(F.col("o_totalprice") / 50000)
+    ways = F.array(
+        F.struct(F.lit("status").alias("target"), F.lit(3).alias("k"),
+                 F.col("o_orderstatus").alias("cluster")),
+        F.struct(F.lit("month").alias("target"), F.lit(12).alias("k"),
+                 F.month("o_orderdate").cast("string").alias("cluster")),
+        F.struct(F.lit("price").alias("target"), F.lit(10).alias("k"),
+                 price.cast("string").alias("cluster")),
+    )
+    assigned = orders.select(F.col("o_orderkey").alias("id"), F.explode(ways).alias("w")).select(
+        "w.target", "w.k", "id", "w.cluster"
+    )
+    classes = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("class"))
+    return assigned, classes
