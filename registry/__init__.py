@@ -1,5 +1,5 @@
 """Queries registered with the driver, grouped by area."""
 
-from registry import comparison, trees
+from registry import clustering, comparison, kernels, trees
 
-MODULES = [comparison, trees]
+MODULES = [comparison, trees, clustering, kernels]

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbormetric.operators.pairs import all_pairs
+from arbormetric.runtime import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -165,3 +168,80 @@ def order_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     )
     classes = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("class"))
     return assigned, classes
+
+
+def part_polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two polynomial texts per part; some of the first are malformed."""
+    part = table(spark, sf_dir, "part")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    first = F.concat(
+        size, F.lit("*x^2*y-"), (F.col("p_size") % 7).cast("string"), F.lit("y^"),
+        (key % 3 + 1).cast("string"), F.lit("x+y-2.5*y+3"),
+    )
+    return part.select(
+        key.alias("id"),
+        F.when(key % 10 == 0, F.concat(first, F.lit("*x*x"))).otherwise(first).alias("p"),
+        F.concat(F.lit("-"), size, F.lit("x^2y+1.5*y-0.25")).alias("q"),
+    )
+
+
+def segment_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, y, p1..p5, s1..s3, w)``: one item per nation and market segment, 125 in all."""
+    customer = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation")
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    place = F.array_position(F.array(*[F.lit(x) for x in segments]), F.col("c_mktsegment"))
+
+    def share(condition):
+        return F.sum(condition.cast("long")) / (F.count("*") * F.lit(1.0))
+
+    return (
+        table(spark, sf_dir, "orders")
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", (F.col("c_nationkey") * 5 + place).cast("long").alias("id"))
+        .agg(
+            *[
+                share(F.substring("o_orderpriority", 1, 1) == str(n)).alias(f"p{n}")
+                for n in range(1, 6)
+            ],
+            *[share(F.col("o_orderstatus") == s).alias(f"s{n}") for n, s in enumerate("FOP", 1)],
+            share(cents("o_totalprice") > 25000000).alias("w"),
+        )
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .withColumn("y", F.when(F.col("n_regionkey") < 2, 1.0).otherwise(-1.0))
+        .drop("c_nationkey", *nation.columns)
+    )
+
+
+def segment_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel terms ``(i, j, ex, ey, coef)`` with i <= j: x by priorities, y by statuses, 1 by price."""
+    items = cut_lineage(segment_profiles(spark, sf_dir))
+    ids = items.select("id")
+    pairs = all_pairs(ids, "id").unionByName(
+        ids.select(F.col("id").alias("i"), F.col("id").alias("j"))
+    )
+    features = [c for c in items.columns if c not in ("id", "y")]
+    a = items.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in features])
+    b = items.select(F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in features])
+
+    def dot(names):
+        total = F.lit(0.0)
+        for c in names:
+            total = total + F.col(f"a_{c}") * F.col(f"b_{c}")
+        return total
+
+    terms = F.array(
+        F.struct(F.lit(1).alias("ex"), F.lit(0).alias("ey"),
+                 dot([f"p{n}" for n in range(1, 6)]).alias("coef")),
+        F.struct(F.lit(0).alias("ex"), F.lit(1).alias("ey"),
+                 dot(["s1", "s2", "s3"]).alias("coef")),
+        F.struct(F.lit(0).alias("ex"), F.lit(0).alias("ey"), dot(["w"]).alias("coef")),
+    )
+    return (
+        pairs.join(a, "i").join(b, "j").select("i", "j", F.explode(terms).alias("t"))
+        .select("i", "j", "t.ex", "t.ey", "t.coef")
+    )
+
+
+def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_profiles(spark, sf_dir).select("id", "y")
