@@ -38,6 +38,8 @@ def mapping_distances(
     def evaluate(tile: pd.DataFrame) -> pd.DataFrame:
         first = tile[tile["block"] == tile["bi"]]
         second = tile[tile["block"] == tile["bj"]]
+        if first.empty or second.empty:
+            return pd.DataFrame(columns=schema.names)
         codes: dict = {}
         a = Side(zip(first["labels"], first["sizes"]), codes)
         same = tile["bi"].iloc[0] == tile["bj"].iloc[0]

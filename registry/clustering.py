@@ -114,7 +114,7 @@ FLAT_SQL = """assigned AS (
   UNION ALL SELECT 'price', 10, o_orderkey,
                    CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) AS VARCHAR) FROM orders),
 classes AS (SELECT o_orderkey AS id, o_orderpriority AS class, 1 AS n FROM orders)"""
-SCORE_END = " SELECT target, k, round(ari, 9) AS ari, round(nmi, 9) AS nmi FROM scores"
+SCORE_END = " SELECT target, CAST(k AS INTEGER) AS k, round(ari, 9) AS ari, round(nmi, 9) AS nmi FROM scores"
 MERGE_END = ' SELECT target, step, "left", "right", round(height, 9) AS height, size FROM merges'
 TREE_SQL = ",\n".join(
     [ORDER_SQL, CANON_SQL, REF_SQL, DISTINCT_SQL, NODE_SQL.format(src="distinct_trees"), PAIR_SQL,

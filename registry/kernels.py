@@ -171,7 +171,7 @@ def queries() -> dict:
         "poly_add_scalar": lambda s, d: K.poly_add_scalar(p_terms(s, d), -3.0, ["id"]),
         "poly_scale": lambda s, d: K.poly_scale(p_terms(s, d), 0.5, ["id"]),
         "poly_format": lambda s, d: K.poly_format(p_terms(s, d), ["id"]),
-        "poly_eval": lambda s, d: _rounded(half_gram(s, d), "v"),
+        "poly_eval": half_gram,
         "normalize_gram": lambda s, d: _rounded(K.normalize_gram(half_gram(s, d)), "v"),
         "param_grid": size_grid,
         "stratified_folds": lambda s, d: G.stratified_folds(segment_labels(s, d), 5),
@@ -212,7 +212,7 @@ pieces AS (
     || CASE ey WHEN 0 THEN '' WHEN 1 THEN 'y' ELSE 'y^' || ey END AS t
   FROM tp)
 SELECT id, string_agg(t, '' ORDER BY ex DESC, ey DESC) AS text FROM pieces GROUP BY id""",
-        "poly_eval": w + GRAM_SQL + GRAM_END.format(v="v"),
+        "poly_eval": w + GRAM_SQL + GRAM_END.replace("round({v}, 9) AS v", "v"),
         "normalize_gram": w + GRAM_SQL.replace("gram AS (", "plain AS (") + """,
 gram AS (
   SELECT p.i, p.j, p.a_ix, p.b_ix, p.alpha, p.beta, p.v / sqrt(x.v * y.v) AS v
