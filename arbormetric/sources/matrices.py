@@ -105,7 +105,7 @@ def write_dm(
         F.lit(1).alias("section"), "id", F.concat(F.col("id"), F.lit(":"), "class").alias("line")
     )
     cell = F.concat(
-        F.col("j"), F.lit(":"), F.when(F.col("i") == F.col("j"), "0").otherwise(F.col("d"))
+        F.col("j"), F.lit(":"), F.when(F.col("i") == F.col("j"), "0").otherwise(F.col("d").cast("string"))
     )
     rows = (
         symmetric(dist.filter(F.col("target") == variant.target))
