@@ -40,39 +40,36 @@ def scores_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree per order: status, its return flags, the line statuses of each flag.
 
-    A tree has at most nine nodes however many lines an order has: lines are reduced to their
-    distinct flag and status before anything is collected.
+    A tree has at most ten nodes however many lines an order has: the kinds of lines are bits
+    that are combined before the shuffle, and nothing is collected.
     """
+    flags, statuses = "ANR", "FO"
+    place = (F.instr(F.lit(flags), F.col("l_returnflag")) - 1) * 2 + (
+        F.instr(F.lit(statuses), F.col("l_linestatus")) - 1
+    )
     kinds = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_set(F.struct("l_returnflag", "l_linestatus"))).alias("kinds"))
-    )
-    flags = F.array_distinct(F.transform("kinds", lambda k: k["l_returnflag"]))
-    below = F.transform(
-        flags,
-        lambda flag: F.concat(
-            flag,
-            F.lit("("),
-            F.array_join(
-                F.transform(
-                    F.filter("kinds", lambda k: k["l_returnflag"] == flag),
-                    lambda k: k["l_linestatus"],
-                ),
-                ", ",
-            ),
-            F.lit(")"),
-        ),
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place)).alias("kinds"))
     )
+
+    def has(at: int):
+        return F.col("kinds").bitwiseAND(F.lit(1 << at)) != 0
+
+    below = []
+    for n, flag in enumerate(flags):
+        leaves = [F.when(has(2 * n + k), status) for k, status in enumerate(statuses)]
+        child = F.concat(F.lit(f"{flag}("), F.concat_ws(", ", *leaves), F.lit(")"))
+        below.append(F.when(has(2 * n) | has(2 * n + 1), child))
     return (
         table(spark, sf_dir, "orders")
         .join(kinds, F.col("o_orderkey") == F.col("l_orderkey"))
         .select(
             F.col("o_orderkey").alias("tree_id"),
             F.col("o_orderpriority").alias("class"),
-            F.concat(
-                "o_orderstatus", F.lit(" ("), F.array_join(below, " "), F.lit(")")
-            ).alias("tree"),
+            F.concat("o_orderstatus", F.lit(" ("), F.concat_ws(" ", *below), F.lit(")")).alias(
+                "tree"
+            ),
         )
     )
 
