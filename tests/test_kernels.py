@@ -98,6 +98,21 @@ def test_search(spark):
     assert found["optimal"].count() >= 1
 
 
+def test_rounds_equal_groups(spark):
+    x = np.array([-2.0, -1.1, 0.4, -0.3, 1.2, 2.1])
+    rows = [(i, j, 0, 0, 1.0, 0.0, float(x[i] * x[j] + 1)) for i in range(6) for j in range(6)]
+    gram = spark.createDataFrame(
+        rows, "i long, j long, a_ix int, b_ix int, alpha double, beta double, v double"
+    )
+    y = [-1.0, -1.0, -1.0, 1.0, 1.0, 1.0]
+    labels = spark.createDataFrame(list(enumerate(y)), "id long, y double")
+    once = K.Range(0.0, 0.0, 1)
+    predicted = lambda limit: {
+        (r.c_ix, r.id): r.predicted for r in G.grid_cv(gram, labels, once, 2, limit).collect()
+    }
+    assert predicted(2000) == predicted(5)
+
+
 def test_folds_are_stratified(spark):
     folds = G.stratified_folds(toy(spark)[1], 5).groupBy("y", "fold").count().collect()
     assert len(folds) == 10 and {r["count"] for r in folds} == {2}
