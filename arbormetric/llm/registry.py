@@ -1,6 +1,10 @@
 """The queries of this folder and the SQL that checks them."""
 
-from arbormetric.llm import warc
+from arbormetric.llm import packing, topk, warc
 
-QUERIES = {"op7_warc": warc.op7_warc}
-ORACLES = {"op7_warc": warc.OP7_SQL}
+QUERIES = {
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_exact_topk": topk.op6_exact_topk,
+    "op7_warc": warc.op7_warc,
+}
+ORACLES = {"op6_exact_topk": topk.OP6_SQL, "op7_warc": warc.OP7_SQL}
