@@ -1,10 +1,13 @@
 """The queries of this folder and the SQL that checks them."""
 
-from arbormetric.llm import packing, topk, warc
+from arbormetric.llm import fingerprints, near, packing, topk, urls, warc
 
 QUERIES = {
+    "op2_url_filters": urls.op2_url_filters,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_warc": warc.op7_warc,
+    "op8_bag_minhash": near.op8_bag_minhash,
 }
 ORACLES = {"op6_exact_topk": topk.OP6_SQL, "op7_warc": warc.OP7_SQL}
