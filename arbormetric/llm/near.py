@@ -84,7 +84,7 @@ def bag_minhash(doc: np.ndarray, x: np.ndarray, n: int, registers: int = REGISTE
         at = np.flatnonzero(waiting)
         time, k = np.zeros(len(at)), 0
         while len(at):
-            draw = _mixed(seed[at] + np.uint64(k) * np.uint64(0xD1342543DE82EF95))
+            draw = _mixed(seed[at] + np.uint64(k * 0xD1342543DE82EF95 % 2**64))
             time = time - np.log1p((draw >> np.uint64(11)).astype(float) * -(2.0**-53)) / (registers * width[at])
             soon = time <= limit[owner_doc[at]]
             at, time, draw, k = at[soon], time[soon], draw[soon], k + 1
