@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -18,7 +19,7 @@ CAPACITY = 2048
 OPEN_BINS = 256
 SHARD_ROWS = 8192
 #: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 BLANK = re.compile(r"[ \t\r\n]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 MARK = "\x01"
@@ -60,12 +61,18 @@ class WordIds:
         return [b"".join(map(self.words.__getitem__, w)) for w in split]
 
 
+@functools.lru_cache(1)
+def _encoder(vocabulary: str) -> WordIds:
+    """One for all tasks of a worker, so that it learns every word once."""
+    return WordIds(vocabulary)
+
+
 def token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``key, piece, start, length, ids_crc32``: each text's ids with ``end_id`` behind them, cut
     only where they are longer than ``capacity``. A null text is empty and has one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
