@@ -1,13 +1,16 @@
 """The queries of this folder and the SQL that checks them."""
 
-from arbormetric.llm import fingerprints, near, packing, topk, urls, warc
+from arbormetric.llm import fingerprints, language, lines, near, packing, pii, topk, urls, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_url_filters": urls.op2_url_filters,
+    "op3_pii": pii.op3_pii,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_warc": warc.op7_warc,
     "op8_bag_minhash": near.op8_bag_minhash,
+    "op10_language_id": language.op10_language_id,
 }
 ORACLES = {"op6_exact_topk": topk.OP6_SQL, "op7_warc": warc.OP7_SQL}
