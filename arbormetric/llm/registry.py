@@ -1,6 +1,7 @@
 """The queries of this folder and the SQL that checks them."""
 
-from arbormetric.llm import fingerprints, language, lines, near, packing, pii, topk, urls, warc
+import corpus_pipeline
+from arbormetric.llm import fingerprints, language, lines, near, packing, pieces, pii, topk, urls, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -11,6 +12,8 @@ QUERIES = {
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_warc": warc.op7_warc,
     "op8_bag_minhash": near.op8_bag_minhash,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_language_id": language.op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op6_exact_topk": topk.OP6_SQL, "op7_warc": warc.OP7_SQL}
