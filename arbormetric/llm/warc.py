@@ -98,8 +98,12 @@ def record_chain(segments: DataFrame) -> DataFrame:
     # A run can be entered once only by the chain; its smallest reached entry is that one.
     flagged = runs.join(entered, ["file", "run"], "left").withColumn("true", F.coalesce(F.col("at") >= F.col("entry"), F.lit(False)))
     back = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("file").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("true"), F.col("at")), ignorenulls=True).over(ahead)
+    # The end of a true record is the start of the next one, or that of the file.
+    flagged = flagged.withColumn("whole", F.coalesce(following, F.col("end")) == F.col("next"))
     last = lambda c: F.last(F.when(F.col("true"), F.col(c)), ignorenulls=True).over(back)
-    owned = flagged.withColumns({"record": last("id"), "stop": last("next")}).filter("record is not null and at < stop and stop <= end")
+    owned = flagged.withColumns({"record": last("id"), "stop": last("next"), "whole": last("whole")}).filter("whole and at < stop")
     place = Window.partitionBy("file", "record").orderBy("at")
     whole = Window.partitionBy("file", "record")
     return stored(owned.select("id", "record", F.row_number().over(place).alias("place"), F.count("*").over(whole).alias("parts")))
