@@ -4,11 +4,14 @@ Merges are ``(target, step, left, right, height, size)``; a cluster is named by
 and ``right`` joins ``left``.  Equal distances are broken by the smaller, then the larger name.
 
 Targets of at most ``group_limit`` items are clustered one per task, many at a time.  Larger ones
-go through rounds of joins and aggregations over the pair table, so no task holds a matrix.
+go through rounds of joins and aggregations over the pair table, so no task holds a matrix.  Both
+merge in the same order, ties included, so the limit never shows in a result.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,8 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from arbormetric.runtime import cut_lineage
 
 GROUP_LIMIT = 2000
+# Decimals in which two distances have to differ: sums in another order differ behind them.
+DECIMALS = 9
 # Link names; those on squared distances; those whose merges may be done in any order.
 LINKS = ("single", "complete", "upgma", "wpgma", "upgmc", "wpgmc", "ward")
 SQUARED = ("upgmc", "wpgmc", "ward")
@@ -51,6 +56,10 @@ def hac(
     )
 
 
+def _missing(what: str) -> Column:
+    return F.raise_error(F.lit(f"an item has no {what}")).cast("double")
+
+
 def _large(pairs: DataFrame, group_limit: int) -> DataFrame:
     """Targets with more pairs than ``group_limit`` items have."""
     counts = pairs.groupBy("target").agg(F.count("*").alias("_pairs"))
@@ -64,8 +73,10 @@ def hac_grouped(dist: DataFrame, link: str, weights: DataFrame | None = None) ->
     else:
         keys = ["target"] if "target" in weights.columns else []
         n = weights.select(*keys, "id", F.col("n").cast("double").alias("n"))
-        sized = dist.join(n.withColumnsRenamed({"id": "i", "n": "ni"}), [*keys, "i"]).join(
-            n.withColumnsRenamed({"id": "j", "n": "nj"}), [*keys, "j"]
+        sized = (
+            dist.join(n.withColumnsRenamed({"id": "i", "n": "ni"}), [*keys, "i"], "left")
+            .join(n.withColumnsRenamed({"id": "j", "n": "nj"}), [*keys, "j"], "left")
+            .withColumns({c: F.coalesce(c, _missing("weight")) for c in ("ni", "nj")})
         )
     schema = StructType(
         [
@@ -101,8 +112,9 @@ def _merge_all(d: np.ndarray, n: np.ndarray, link: str) -> list[tuple]:
         d = d * d
     items = len(n)
     upper = np.where(np.arange(items)[:, None] < np.arange(items)[None, :], d, np.inf)
-    near = upper.argmin(axis=1)
-    close = upper[np.arange(items), near]
+    compared = np.round(upper, DECIMALS)
+    near = compared.argmin(axis=1)
+    close = compared[np.arange(items), near]
     alive = np.ones(items, dtype=bool)
     merges = []
     for step in range(1, items):
@@ -117,18 +129,20 @@ def _merge_all(d: np.ndarray, n: np.ndarray, link: str) -> list[tuple]:
         others = alive.copy()
         others[a] = False
         upper[b, :] = upper[:, b] = np.inf
+        compared[b, :] = compared[:, b] = np.inf
         close[b] = np.inf
         before, after = others.copy(), others.copy()
         before[a:] = False
         after[: a + 1] = False
         upper[before, a] = merged[before]
         upper[a, after] = merged[after]
-        nearer = before & ((upper[:, a] < close) | ((upper[:, a] == close) & (a < near)))
-        close[nearer], near[nearer] = upper[nearer, a], a
+        compared[:, a], compared[a] = np.round(upper[:, a], DECIMALS), np.round(upper[a], DECIMALS)
+        nearer = before & ((compared[:, a] < close) | ((compared[:, a] == close) & (a < near)))
+        close[nearer], near[nearer] = compared[nearer, a], a
         stale = (others & ~nearer & ((near == a) | (near == b))).nonzero()[0]
         for r in [a, *stale.tolist()]:
-            near[r] = upper[r].argmin()
-            close[r] = upper[r, near[r]]
+            near[r] = compared[r].argmin()
+            close[r] = compared[r, near[r]]
         shown = np.sqrt(max(height, 0.0)) if link in SQUARED else height
         merges.append((step, a, b, float(shown), int(n[a])))
     return merges
@@ -158,8 +172,10 @@ def hac_rounds(
 ) -> DataFrame:
     """The same by rounds over the pair table, until what is left of a target fits a task.
 
-    Reducible links merge all pairs of mutual nearest neighbours at once; the centroid links
-    merge the closest pair of each target, one per round.
+    A round merges the closest pair of each target and, for reducible links, all pairs that are
+    each other's only nearest neighbour: no other merge can come between such a pair, whatever the
+    order.  The steps are then put in the order of merging one pair at a time.  Distances that tie
+    all over take as many rounds as merges.
     """
     link = link_name(link)
     value = F.col("d") * F.col("d") if link in SQUARED else F.col("d")
@@ -168,7 +184,9 @@ def hac_rounds(
     if weights is None:
         sizes = ids.withColumn("n", F.lit(1.0))
     else:
-        sizes = ids.join(weights.select("id", F.col("n").cast("double").alias("n")), "id")
+        keys = ["target"] if "target" in weights.columns else []
+        n = weights.select(*keys, "id", F.coalesce(F.col("n").cast("double"), _missing("weight")).alias("n"))
+        sizes = ids.join(n, [*keys, "id"], "left").withColumn("n", F.coalesce("n", _missing("weight")))
     sizes = cut_lineage(sizes.select("target", "id", "n"))
     done, number = [], 0
     while not _large(pairs, group_limit).isEmpty():
@@ -198,19 +216,64 @@ def hac_rounds(
     last = hac_grouped(rest, link, sizes).withColumn("round", F.lit(number + 1))
     for merges in done:
         last = last.unionByName(merges)
-    order = ["height", "round", "step"] if link in REDUCIBLE else ["round", "step"]
-    by_height = W.partitionBy("target").orderBy(*order, "left")
-    return last.withColumn("step", F.row_number().over(by_height)).drop("round")
+    if link in REDUCIBLE:
+        return _in_order(last, dist.schema)
+    by_round = W.partitionBy("target").orderBy("round", "step", "left")
+    return last.withColumn("step", F.row_number().over(by_round)).drop("round")
+
+
+def _in_order(merges: DataFrame, pairs: StructType) -> DataFrame:
+    """Steps as if one pair was merged at a time: of the merges whose clusters are there the one
+    with the least height, then the smaller names.  A task has the merges of a target, one row an
+    item."""
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["round", "step", "height", "left"], ignore_index=True)
+        made, waits, then = {}, [0] * len(pdf), [[] for _ in range(len(pdf))]
+        keys = list(zip(pdf["height"].round(DECIMALS), pdf["left"], pdf["right"]))
+        for at, (_, left, right) in enumerate(keys):
+            for before in {made[x] for x in (left, right) if x in made}:
+                waits[at] += 1
+                then[before].append(at)
+            made[left] = at
+        ready = [(keys[at], at) for at, n in enumerate(waits) if n == 0]
+        heapq.heapify(ready)
+        steps = np.zeros(len(pdf), dtype=int)
+        for step in range(1, len(pdf) + 1):
+            _, at = heapq.heappop(ready)
+            steps[at] = step
+            for later in then[at]:
+                waits[later] -= 1
+                if waits[later] == 0:
+                    heapq.heappush(ready, (keys[later], later))
+        return pdf.assign(step=steps)[["target", "step", "left", "right", "height", "size"]]
+
+    schema = StructType(
+        [
+            StructField("target", pairs["target"].dataType),
+            StructField("step", IntegerType()),
+            StructField("left", pairs["i"].dataType),
+            StructField("right", pairs["i"].dataType),
+            StructField("height", DoubleType()),
+            StructField("size", LongType()),
+        ]
+    )
+    return merges.groupBy("target").applyInPandas(number, schema)
 
 
 def _round_merges(pairs: DataFrame, sizes: DataFrame, link: str) -> DataFrame:
-    edge = F.struct("d", F.col("i").alias("left"), F.col("j").alias("right"))
+    near = F.round("d", DECIMALS)
+    edge = F.struct(near.alias("near"), F.col("i").alias("left"), F.col("j").alias("right"), "d")
+    chosen = pairs.groupBy("target").agg(F.min(edge).alias("edge"))
     if link in REDUCIBLE:
         ends = pairs.select("target", F.explode(F.array("i", "j")).alias("id"), edge.alias("edge"))
-        nearest = ends.groupBy("target", "id").agg(F.min("edge").alias("edge"))
-        chosen = nearest.groupBy("target", "edge").agg(F.count("*").alias("_n")).filter("_n = 2")
-    else:
-        chosen = pairs.groupBy("target").agg(F.min(edge).alias("edge"))
+        furthest = F.struct((-F.col("edge.near")).alias("near"), "edge.left", "edge.right")
+        nearest = ends.groupBy("target", "id").agg(
+            F.min("edge").alias("edge"), F.max(furthest).alias("tied")
+        )
+        only = nearest.filter("edge.left = tied.left AND edge.right = tied.right")
+        mutual = only.groupBy("target", "edge").agg(F.count("*").alias("_n")).filter("_n = 2")
+        chosen = chosen.unionByName(mutual.drop("_n")).distinct()
     chosen = chosen.select("target", "edge.left", "edge.right", "edge.d")
     return chosen.join(
         sizes.withColumnsRenamed({"id": "left", "n": "n_left"}), ["target", "left"]

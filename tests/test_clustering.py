@@ -112,3 +112,33 @@ def test_agreement_by_hand(spark):
 
 def test_unknown_link_means_complete():
     assert H.link_name("WARD") == "ward" and H.link_name("wand") == "complete"
+
+
+@pytest.mark.parametrize("link", H.LINKS)
+def test_ties_do_not_depend_on_the_limit(spark, link):
+    rng = np.random.default_rng(17)
+    rows = [
+        (f"t{t}", i, j, float(rng.integers(1, 5))) for t in range(6) for i in range(9) for j in range(i + 1, 9)
+    ]
+    dist = spark.createDataFrame(rows, "target string, i long, j long, d double")
+    whole = H.hac(dist, link)
+    rounds = H.hac(dist, link, group_limit=4)
+    key = lambda df: [(r.target, r.step, r.left, r.right, round(r.height, 8), r.size) for r in df.orderBy("target", "step").collect()]
+    assert key(whole) == key(rounds)
+
+
+def test_rounds_take_the_weights_of_the_target(spark):
+    dist, _ = distances(spark, 2, 6)
+    weights = spark.createDataFrame(
+        [(f"t{t}", i, 1 + (i + t) % 3) for t in range(2) for i in range(6)], "target string, id long, n long"
+    )
+    key = lambda df: [(r.target, r.left, r.right, round(r.height, 8), r.size) for r in df.orderBy("target", "step").collect()]
+    assert key(H.hac(dist, "upgma", weights)) == key(H.hac(dist, "upgma", weights, group_limit=3))
+
+
+@pytest.mark.parametrize("limit", [3, 100])
+def test_an_item_without_weight_raises(spark, limit):
+    dist, _ = distances(spark, 1, 6)
+    weights = spark.createDataFrame([(i, 1) for i in range(5)], "id long, n long")
+    with pytest.raises(Exception, match="no weight"):
+        H.hac(dist, "upgma", weights, group_limit=limit).collect()
