@@ -19,6 +19,9 @@ REGISTERS = BANDS * ROWS
 #: Stands for a null id, and so goes before all others.
 NO_ID = -(2**63)
 BATCH = 512
+#: Buckets of up to FEW texts are compared pair by pair, larger ones in cells.
+FEW = 16
+CELL = 512
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,8 +132,9 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("text", "id", "h1", "h2").mapInArrow(sign, "id long, h1 long, h2 long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``id, bag``: the sorted hashes of shingle and occurrence, eight bytes each."""
+def _sets(docs: DataFrame, half: bool = False) -> DataFrame:
+    """``id, bag``: the sorted hashes of shingle and occurrence, eight bytes each; with ``half``
+    their lower four bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _in_batches(batches):
@@ -139,7 +143,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             x = x + _mixed((np.arange(len(x)) - np.repeat(first, count)).astype(np.uint64))
             x = x[np.lexsort((x, doc))]
             cuts = np.cumsum(np.bincount(doc, minlength=len(texts)))
-            bags = [b.tobytes() for b in np.split(x, cuts[:-1])]
+            bags = [b.tobytes() for b in np.split(x.astype(np.uint32) if half else x, cuts[:-1])]
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(bags, pa.binary())], names=["id", "bag"])
 
     return docs.select("text", "id").mapInArrow(pack, "id long, bag binary")
@@ -166,15 +170,72 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return _overlaps(pairs.join(first, "a").join(second, "b")).filter(F.col("similarity") >= similarity)
 
 
+def _across(texts: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different roots in large buckets that look similar enough by their
+    shingles' lower 32 bits, which may raise an overlap but never lower it; of the partners of a
+    text one for each root and cell is given, since one link joins the classes.
+
+    A bucket's texts outside its main root meet all of its texts in cells of about CELL by CELL, so
+    what a task holds is bounded, and only what is found leaves a cell.
+    """
+    if not placed.limit(1).count():
+        return placed.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    ids = stored(placed.select("id").distinct())
+    short = stored(_sets(texts.join(small(ids), "id", "left_semi"), half=True))
+    rows, columns = F.ceil((F.col("of") - F.col("most")) / CELL).cast("int"), F.ceil(F.col("of") / CELL).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    minor = placed.filter("root <> main").select("key", part(rows).alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), "id", "root")
+    whole = placed.select("key", every(rows).alias("i"), part(columns).alias("j"), F.lit(1).alias("side"), "id", "root")
+    cells = minor.union(whole).join(short, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def compare(cell: pd.DataFrame) -> list[tuple[int, int]]:
+        bags = [np.frombuffer(b, np.uint32) for b in cell["bag"]]
+        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
+        _, at = np.unique(np.concatenate(bags), return_inverse=True)
+        own = np.repeat(np.arange(len(bags)), sizes)
+        shared = np.bincount(at) > 1
+        column = np.cumsum(shared) - 1
+        keep = shared[at]
+        first = int((cell["side"] == 0).sum())
+        overlap = np.zeros((first, len(bags) - first), np.float32)
+        for low in range(0, int(shared.sum()), 4096):  # So many columns of the matrix at once.
+            matrix = np.zeros((len(bags), 4096), np.float32)
+            now = keep & (column[at] >= low) & (column[at] < low + 4096)
+            matrix[own[now], column[at[now]] - low] = 1
+            overlap += matrix[:first] @ matrix[first:].T
+        root = cell["root"].to_numpy()
+        total = sizes[:first, None] + sizes[None, first:] - overlap
+        x, y = np.nonzero((overlap >= similarity * total * (1 - 1e-6)) & (root[:first, None] != root[None, first:]))
+        ids = cell["id"].to_numpy()
+        found = {(ids[i], root[first + j]): ids[first + j] for i, j in zip(x, y, strict=True)}
+        return [(min(a, b), max(a, b)) for (a, _), b in found.items()]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for batch in batches:
+            if waiting is not None:
+                batch = pd.concat([waiting, batch], ignore_index=True)
+            cell = batch[["key", "i", "j"]].ne(batch[["key", "i", "j"]].shift()).any(axis=1).cumsum()
+            done = cell < cell.iloc[-1]
+            waiting = batch[~done]
+            found = [pair for _, c in batch[done].groupby(cell[done]) for pair in compare(c)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if waiting is not None:
+            yield pd.DataFrame(compare(waiting), columns=["a", "b"], dtype="int64")
+
+    return cells.mapInPandas(walk, "a long, b long")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``id, h1, h2, root`` for every row of ``documents``: the smallest id of its class.
 
     Documents are in one class if their texts are equal or a chain of candidate pairs with a
     weighted Jaccard similarity of ``similarity`` or more joins them; candidates share one of the
     signature's bands. Equal texts stand for one another. Within a band's bucket every text is
-    first compared with the smallest only, which joins a large group in as many comparisons as it
-    has texts; then all candidate pairs that are still in different classes are compared, so no
-    link is lost. A null text is empty, texts without words only equal themselves, a null id
+    first compared with the smallest only, which joins most of a large group in as many comparisons
+    as it has texts; then all candidates that are still in different classes are compared, pair by
+    pair in small buckets and in cells of large ones, so no link is lost. A null text is empty, texts without words only equal themselves, a null id
     counts as the smallest and rows that repeat an id are one document.
     """
     text = F.coalesce("text", F.lit(""))
@@ -192,12 +253,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     roots = connected_components(links)
     placed = stored(members.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    placed = placed.join(mixed.select("key", "main"), "key")
-    minor = placed.filter("root <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    rest = (minor.join(placed.toDF("key", "b", "n_b", "root_b", "main"), "key")
+    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("of"),
+                                      F.max("c").alias("most")).filter("roots > 1")
+    placed = stored(placed.join(mixed.select("key", "main", "of", "most"), "key"))
+    found = _across(rows, placed.filter(F.col("of") > FEW), similarity)
+    few = placed.filter(F.col("of") <= FEW)
+    minor = few.filter("root <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    rest = (minor.join(few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key")
             .filter((F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(found).distinct())
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         more = stored(verified(rows, rest, similarity))
