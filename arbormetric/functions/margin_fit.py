@@ -8,26 +8,26 @@ TOLERANCE = 1e-6
 ROUNDS = 200_000
 
 
-def decision_values(kernel: np.ndarray, y: np.ndarray, train: np.ndarray, c: float) -> np.ndarray:
-    """Decision value of every row of ``kernel`` for a classifier fitted on the rows ``train``."""
-    labels = y[train]
-    if np.all(labels == labels[0]):
-        return np.full(len(y), labels[0])
-    k = kernel[np.ix_(train, train)]
-    a, offset = _fit(k, labels, c)
-    return kernel[:, train] @ (a * labels) - offset
+def fit_margin(kernel: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, float, bool]:
+    """Weights and shift of the decision value ``kernel @ weights + shift``, and whether the fit
+    converged within ROUNDS moves."""
+    if np.all(y == y[0]):
+        return np.zeros(len(y)), float(y[0]), True
+    a, offset, converged = _fit(kernel, y, c)
+    return a * y, -offset, converged
 
 
-def _fit(k: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+def _fit(k: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, float, bool]:
     """Dual by pairs: the most violating one and its best partner, until none violates."""
     a, gradient, diagonal = np.zeros(len(y)), -np.ones(len(y)), np.diag(k)
-    positive = y > 0
+    positive, converged = y > 0, False
     for _ in range(ROUNDS):
         score = -y * gradient
         up = np.where(positive, a < c, a > 0)
         low = np.where(positive, a > 0, a < c)
         i = int(np.where(up, score, -np.inf).argmax())
         if score[i] - np.where(low, score, np.inf).min() < TOLERANCE:
+            converged = True
             break
         gap = score[i] - score
         curve = np.maximum(diagonal[i] + diagonal - 2 * k[i], 1e-12)
@@ -40,7 +40,7 @@ def _fit(k: np.ndarray, y: np.ndarray, c: float) -> tuple[np.ndarray, float]:
     score = -y * gradient
     free = (a > 1e-12 * c) & (a < c * (1 - 1e-12))
     if free.any():
-        return a, -float(score[free].mean())
+        return a, -float(score[free].mean()), converged
     up = np.where(positive, a < c, a > 0)
     low = np.where(positive, a > 0, a < c)
-    return a, -float((score[up].max() + score[low].min()) / 2)
+    return a, -float((score[up].max() + score[low].min()) / 2), converged

@@ -13,18 +13,25 @@ from pyspark.sql import functions as F
 from arbormetric.functions.tails import f_upper_p_even, f_upper_p_odd, normal_two_sided_p
 from arbormetric.operators.ordering import cumulative_counts
 from arbormetric.operators.ranking import average_rank
-from arbormetric.runtime import cut_lineage
 
 EXACT_LIMIT = 30
 
 
 def _rank_table(scores: DataFrame) -> DataFrame:
-    """Mean rank per method with the number of data sets ``l`` and of methods ``s``."""
+    """Mean rank per method with the number of data sets ``l`` and of methods ``s``.
+
+    Methods with unequal numbers of data sets raise: their ranks do not compare.
+    """
     ranks = average_rank(scores)
     means = ranks.groupBy("method").agg(
         F.avg("rank").alias("mean_rank"), F.count("*").alias("l")
     )
-    return means.withColumn("s", F.count("*").over(W.partitionBy("l")))
+    methods = W.partitionBy(F.lit(0))  # One row per method.
+    uneven = F.min("l").over(methods) != F.max("l").over(methods)
+    refused = F.raise_error(F.lit("methods have unequal numbers of data sets")).cast("long")
+    return means.withColumns(
+        {"s": F.count("*").over(methods), "l": F.when(uneven, refused).otherwise(F.col("l"))}
+    )
 
 
 def friedman(scores: DataFrame) -> DataFrame:
@@ -40,20 +47,11 @@ def friedman(scores: DataFrame) -> DataFrame:
         .withColumn("d1", s - 1)
         .withColumn("d2", (s - 1) * (l - 1))
     )
-    tested = cut_lineage(tested)  # One row.
-    columns = ["s", "l", "chi2", "f", "p"]
-    even = tested.filter("d1 % 2 = 0").withColumn(
-        "p", f_upper_p_even(F.col("f"), F.col("d1"), F.col("d2"))
-    )
-    odd = tested.filter("d1 % 2 = 1").withColumn(
-        "p", f_upper_p_odd(F.col("f"), F.col("d1").cast("double"), F.col("d2").cast("double"))
-    )
+    even = f_upper_p_even(F.col("f"), F.col("d1"), F.col("d2"))
+    odd = f_upper_p_odd(F.col("f"), F.col("d1").cast("double"), F.col("d2").cast("double"))
     # All rankings agree: the F value is infinite and its tail is empty.
-    return (
-        even.select(*columns)
-        .unionByName(odd.select(*columns))
-        .withColumn("p", F.when(F.col("f").isNull(), F.lit(0.0)).otherwise(F.col("p")))
-    )
+    p = F.when(F.col("f").isNull(), 0.0).when(F.col("d1") % 2 == 0, even).otherwise(odd)
+    return tested.select("s", "l", "chi2", "f", p.alias("p"))
 
 
 def method_pairs(scores: DataFrame) -> DataFrame:
@@ -101,10 +99,12 @@ def _subset_sum_tail(n: Column, least: Column) -> Column:
     return tail / F.pow(F.lit(2.0), n)
 
 
-def wilcoxon_pairs(scores: DataFrame, both: bool = False) -> DataFrame:
+def wilcoxon_pairs(
+    scores: DataFrame, both: bool = False, exact_limit: int = EXACT_LIMIT
+) -> DataFrame:
     """Signed-rank test of every pair: ``(a, b, n, w_max, p)``.
 
-    Exact up to 30 data sets (equal differences stay in the ranking and zeros count against the
+    Exact up to ``exact_limit`` data sets (equal differences stay in the ranking and zeros count against the
     positive sum, so the exact value may exceed 1), else the normal approximation.
     """
     n, top = F.col("n"), F.col("n") * (F.col("n") + 1) / 2
@@ -116,13 +116,13 @@ def wilcoxon_pairs(scores: DataFrame, both: bool = False) -> DataFrame:
     )
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     z = (top - F.col("w_max") - n * (n + 1) / 4 - 0.5) / spread
-    exact = 2 * _subset_sum_tail(F.least(n, F.lit(EXACT_LIMIT)), F.col("w_max"))
+    exact = 2 * _subset_sum_tail(F.least(n, F.lit(exact_limit)), F.col("w_max"))
     result = tested.select(
         "a",
         "b",
         "n",
         "w_max",
-        F.when(n <= EXACT_LIMIT, exact).otherwise(normal_two_sided_p(z)).alias("p"),
+        F.when(n <= exact_limit, exact).otherwise(normal_two_sided_p(z)).alias("p"),
     )
     return both_orders(result) if both else result
 
@@ -167,7 +167,6 @@ def hommel(pvals: DataFrame, control: str | None = None) -> DataFrame:
     ranked = _by_control(pvals)
     if control is not None:
         ranked = ranked.filter(F.col("control") == control)
-    ranked = cut_lineage(ranked)  # One row per ordered pair of methods.
     p, i, j, n = F.col("p"), F.col("i"), F.col("j"), F.col("n")
     bounds = (
         ranked.withColumn("j", F.explode(F.sequence(n - i + 1, n)))
@@ -214,7 +213,7 @@ def true_hypothesis_counts(methods: DataFrame) -> DataFrame:
 
 def shaffer(pvals: DataFrame) -> DataFrame:
     """Static Shaffer procedure: ``(a, b, p, adjusted)``."""
-    pairs = cut_lineage(pvals.select("a", "b", "p"))
+    pairs = pvals.select("a", "b", "p")
     methods = pairs.select(F.explode(F.array("a", "b")).alias("method")).distinct()
     s = methods.select(F.count("*")).scalar()
     n = pairs.select(F.count("*")).scalar()

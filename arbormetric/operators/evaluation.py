@@ -41,10 +41,13 @@ def contingency(assigned: DataFrame, classes: DataFrame) -> DataFrame:
     """``(target, k, cluster, class, n)``.
 
     The clusters of an id over all (target, k) are few; the classes side is joined once on id.
+    Without ``n`` a repeated row of ``classes`` counts once; an item without a class raises.
     """
     if "n" not in classes.columns:
-        classes = classes.withColumn("n", F.lit(1))
-    joined = assigned.join(classes.select("id", "class", "n"), "id")
+        classes = classes.select("id", "class").distinct().withColumn("n", F.lit(1))
+    missing = F.raise_error(F.lit("an item has no class")).cast(classes.schema["class"].dataType)
+    joined = assigned.join(classes.select("id", "class", "n", F.lit(True).alias("_known")), "id", "left")
+    joined = joined.withColumn("class", F.when(F.col("_known").isNull(), missing).otherwise(F.col("class")))
     return joined.groupBy("target", "k", "cluster", "class").agg(F.sum("n").alias("n"))
 
 

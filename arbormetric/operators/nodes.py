@@ -38,11 +38,14 @@ def tree_ref(trees: DataFrame) -> DataFrame:
 
 
 def structures(trees: DataFrame) -> DataFrame:
-    """Distinct structures ``(ref, tree, n)`` with the number of trees that have them."""
+    """Distinct structures ``(ref, tree, n)`` with the number of trees that have them.
+
+    Equal texts are counted first, so each is parsed once.
+    """
     return (
-        canonical_trees(trees)
+        canonical_trees(trees.groupBy("tree").agg(F.count("*").alias("n")))
         .groupBy("tree")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .select(tree_reference(F.col("tree")).alias("ref"), "tree", "n")
     )
 

@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arbormetric.runtime import cut_lineage
-
 BUDGET = 4000
+# Rows of a block where rows have no size: a tile has at most about this many squared pairs.
+ROWS = 500
 
 
 def blocks(items: DataFrame, key: str, budget: int = BUDGET, size: str | None = None) -> DataFrame:
-    """Add ``block`` and ``n_blocks``.  ``size`` is the weight of a row (1 if not given)."""
-    sized = items.withColumn(
-        "_class", F.floor(F.log2(F.col(size))).cast("int") if size else F.lit(0)
-    )
+    """Add ``block`` and ``n_blocks``.  Without ``size`` a row weighs 1 and blocks have up to ROWS."""
+    if size is None:
+        rows = items.select(F.count("*")).scalar()
+        n = F.greatest(F.ceil(rows / min(budget, ROWS)), F.lit(1)).cast("long")
+        return items.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")))
+    sized = items.withColumn("_class", F.floor(F.log2(F.col(size))).cast("int"))
     everything = W.orderBy("_class")
     # At most 32 rows: one per power of two.
     classes = (
@@ -27,7 +29,7 @@ def blocks(items: DataFrame, key: str, budget: int = BUDGET, size: str | None =
         .agg(F.count("*").alias("_n"))
         .withColumn(
             "_share",
-            F.ceil(F.col("_n") * F.pow(F.lit(2.0), F.col("_class") + (1 if size else 0)) / budget),
+            F.ceil(F.col("_n") * F.pow(F.lit(2.0), F.col("_class") + 1) / budget),
         )
         .select(
             "_class",
@@ -60,7 +62,7 @@ def pair_tiles(
 
 def all_pairs(items: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     """``(i, j)`` with i < j for every unordered pair, by an equi-join on the tile."""
-    tiles = pair_tiles(cut_lineage(items.select(key)), key, budget)
+    tiles = pair_tiles(items.select(key), key, budget)
     left = tiles.filter("block = bi").select("bi", "bj", F.col(key).alias("x"))
     right = tiles.filter("block = bj").select("bi", "bj", F.col(key).alias("y"))
     ordered = (F.col("bi") < F.col("bj")) | (F.col("x") < F.col("y"))
@@ -73,7 +75,7 @@ def all_pairs(items: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
 
 def symmetric(dist: DataFrame) -> DataFrame:
     """Both orders of every pair and a zero diagonal, per target."""
-    dist = cut_lineage(dist.select("target", "i", "j", "d"))
+    dist = dist.select("target", "i", "j", "d")
     orders = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     square = dist.select("target", F.explode(orders).alias("_o"), "d").select(
         "target", "_o.i", "_o.j", "d"

@@ -137,9 +137,10 @@ def with_ranges(df: DataFrame, **ranges: Range) -> DataFrame:
 
 def _values(name: str, first: int) -> Column:
     low, high, n = F.col(f"{name}_min"), F.col(f"{name}_max"), F.col(f"{name}_div")
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(first), n.cast("int")), lambda step: div(low, high, n, step))
-    )
+    steps = F.sequence(F.lit(first), F.greatest(n.cast("int"), F.lit(1)))
+    points = F.transform(steps, lambda step: div(low, high, n, step))
+    # A range without divisions is its lower limit.
+    return F.when(n < 1, F.array(low)).otherwise(F.array_distinct(points))
 
 
 def kernel_grid(df: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbormetric.functions.margin_fit import TOLERANCE, decision_values
+from arbormetric.functions.margin_fit import fit_margin
 from arbormetric.operators.ordering import positions
 from arbormetric.operators.polynomials import Range
 from arbormetric.runtime import cut_lineage
 
-GROUP_LIMIT = 2000
+# Labelled rows, in expectation, from which a classifier is fitted.
+FIT_ROWS = 2000
 
 
 def stratified_folds(labels: DataFrame, folds: int) -> DataFrame:
@@ -27,155 +28,63 @@ def stratified_folds(labels: DataFrame, folds: int) -> DataFrame:
 
 
 def grid_cv(
-    gram: DataFrame, labels: DataFrame, logc: Range, folds: int = 5,
-    group_limit: int = GROUP_LIMIT,
+    gram: DataFrame, labels: DataFrame, logc: Range, folds: int = 5, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
-    """``(a_ix, b_ix, c_ix, alpha, beta, logc, id, y, predicted)`` by k-fold cross-validation.
+    """``(a_ix, b_ix, c_ix, alpha, beta, logc, id, y, predicted, converged)`` by k-fold
+    cross-validation.
 
-    One task per (alpha, beta): its matrix is built once and serves every C and fold.  More than
-    ``group_limit`` items do not fit a task; then the fits are rounds over the Gram table.
+    A classifier is fitted per grid point and fold on at most about ``fit_rows`` labelled rows,
+    drawn evenly by a hash of the id where there are more; every fold of a grid point is a task of
+    its own.  Predictions cover all rows: a join with the fitted weights and a sum.  A Gram row
+    without label, and a Gram table that lacks cells, raise.
     """
     parts = cut_lineage(stratified_folds(labels, folds))
     values = [logc.low * (1.0 - s / logc.divisions) + logc.high * s / logc.divisions
-              for s in range(logc.divisions + 1)]
+              for s in range(logc.divisions + 1)] if logc.divisions else [logc.low]
     grid = list(dict.fromkeys(values))
-    if parts.count() > group_limit:
-        return _cv_rounds(gram, parts, grid, folds)
-    left = parts.select(F.col("id").alias("i"), F.col("y").alias("y"), "fold")
-    rows = gram.join(left, "i").join(parts.select(F.col("id").alias("j")), "j", "left_semi")
+    part = min(1.0, fit_rows / max(1, parts.count()))
+    fitted = parts.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    side = lambda end: fitted.select(F.col("id").alias(end), F.col("y").alias(f"y_{end}"), F.col("fold").alias(f"fold_{end}"))
+    cells = (
+        gram.join(side("i"), "i")
+        .join(side("j").drop("y_j"), "j")
+        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+        .filter("fold <> fold_i AND fold <> fold_j")
+        .select("a_ix", "b_ix", "fold", "i", "j", "v", "y_i")
+    )
+    item = gram.schema["i"].dataType.simpleString()
     schema = (
-        f"a_ix int, b_ix int, c_ix int, alpha double, beta double, logc double, "
-        f"id {gram.schema['i'].dataType.simpleString()}, y double, predicted double"
+        f"a_ix int, b_ix int, c_ix int, logc double, fold int, j {item}, w double, shift double, "
+        "n long, converged boolean"
     )
 
-    def validate(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["i"])
+        if len(pdf) != len(ids) ** 2 or not np.array_equal(ids, np.unique(pdf["j"])):
+            raise ValueError("the Gram table of a grid point lacks cells or repeats them")
         i, j = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
-        kernel = np.zeros((len(ids), len(ids)))
-        kernel[i, j] = pdf["v"]
-        y, fold = np.empty(len(ids)), np.empty(len(ids), dtype=int)
-        y[i], fold[i] = pdf["y"], pdf["fold"]
+        kernel, y = np.zeros((len(ids), len(ids))), np.empty(len(ids))
+        kernel[i, j], y[i] = pdf["v"], pdf["y_i"]
         out = []
         for c_ix, exponent in enumerate(grid):
-            predicted = np.empty(len(ids))
-            for f in range(folds):
-                held = fold == f
-                if held.any():
-                    train = np.flatnonzero(~held)
-                    value = decision_values(kernel, y, train, 10.0**exponent)
-                    predicted[held] = np.where(value[held] > 0, 1.0, -1.0)
-            out.append(
-                pd.DataFrame({"c_ix": c_ix, "logc": exponent, "id": ids, "y": y,
-                              "predicted": predicted})
-            )
+            w, shift, converged = fit_margin(kernel, y, 10.0**exponent)
+            out.append(pd.DataFrame({"c_ix": c_ix, "logc": exponent, "j": ids, "w": w, "shift": shift, "converged": converged}))
         result = pd.concat(out)
-        for column in ("a_ix", "b_ix", "alpha", "beta"):
+        result["n"] = len(ids)
+        for column in ("a_ix", "b_ix", "fold"):
             result[column] = pdf[column].iloc[0]
-        return result
-
-    columns = schema.replace(",", "").split()[::2]
-    return rows.groupBy("a_ix", "b_ix").applyInPandas(lambda p: validate(p)[columns], schema)
-
-
-PROBLEM = ["a_ix", "b_ix", "c_ix", "fold"]
-
-
-def _cv_rounds(gram: DataFrame, parts: DataFrame, grid: list[float], folds: int) -> DataFrame:
-    """The same as rounds of joins: every fit moves its most violating pair once per round.
-
-    The state has one row per fit and training item; a round joins it with two Gram rows per fit.
-    """
-    gram = cut_lineage(gram)
-    points = F.array(
-        *[F.struct(F.lit(n).alias("c_ix"), F.lit(x).alias("logc")) for n, x in enumerate(grid)]
-    )
-    members = (
-        gram.filter("i = j")
-        .join(parts.withColumnsRenamed({"id": "i", "fold": "own"}), "i")
-        .select("a_ix", "b_ix", "alpha", "beta", "i", "y", "own", F.explode(points).alias("p"))
-        .select("a_ix", "b_ix", "alpha", "beta", "p.c_ix", "p.logc", F.col("i").alias("id"), "y",
-                "own", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
-    )
-    state = cut_lineage(
-        members.filter("own <> fold").select(
-            *PROBLEM, "id", "y", F.pow(F.lit(10.0), "logc").alias("c"),
-            F.lit(0.0).alias("a"), F.lit(-1.0).alias("g"),
-        )
-    )
-    score = -F.col("y") * F.col("g")
-    rises = F.when(F.col("y") > 0, F.col("a") < F.col("c")).otherwise(F.col("a") > 0)
-    falls = F.when(F.col("y") > 0, F.col("a") > 0).otherwise(F.col("a") < F.col("c"))
-    item = F.struct(score.alias("score"), "id", "y", "a")
-    while True:
-        ends = (
-            state.groupBy(*PROBLEM, "c")
-            .agg(F.max(F.when(rises, item)).alias("up"), F.min(F.when(falls, item)).alias("low"))
-            .withColumn("gap", F.col("up.score") - F.col("low.score"))
-            .filter(F.col("gap") >= TOLERANCE)
-        )
-        ends = cut_lineage(ends)
-        if ends.isEmpty():
-            break
-        state = cut_lineage(_moved(state, gram, ends))
-    free = (F.col("a") > 1e-12 * F.col("c")) & (F.col("a") < F.col("c") * (1 - 1e-12))
-    shifts = state.groupBy(*PROBLEM).agg(
-        F.coalesce(
-            F.avg(F.when(free, score)),
-            (F.max(F.when(rises, score)) + F.min(F.when(falls, score))) / 2,
-            F.max("y"),
-        ).alias("shift")
-    )
-    sums = (
-        state.filter("a > 0")
-        .select(*PROBLEM, F.col("id").alias("i"), (F.col("a") * F.col("y")).alias("w"))
-        .join(gram.select("a_ix", "b_ix", "i", F.col("j").alias("id"), "v"), ["a_ix", "b_ix", "i"])
-        .groupBy(*PROBLEM, "id")
-        .agg(F.sum(F.col("w") * F.col("v")).alias("f"))
-    )
-    value = F.coalesce("f", F.lit(0.0)) + F.col("shift")
+        return result[["a_ix", "b_ix", "c_ix", "logc", "fold", "j", "w", "shift", "n", "converged"]]
+
+    weights = cells.groupBy("a_ix", "b_ix", "fold").applyInPandas(fit, schema)
+    unlabelled = F.raise_error(F.lit("a Gram row has no label")).cast("int")
+    held = gram.join(parts.withColumnsRenamed({"id": "i"}), "i", "left").withColumn("fold", F.coalesce("fold", unlabelled))
+    lacking = F.raise_error(F.lit("the Gram table lacks cells")).cast("double")
+    value = F.when(F.count("*") != F.first("n"), lacking).otherwise(F.sum(F.col("w") * F.col("v")) + F.first("shift"))
+    keys = ["a_ix", "b_ix", "c_ix", "alpha", "beta", "logc", F.col("i").alias("id"), "y"]
     return (
-        members.filter("own = fold")
-        .join(shifts, PROBLEM)
-        .join(sums, [*PROBLEM, "id"], "left")
-        .select(
-            "a_ix", "b_ix", "c_ix", "alpha", "beta", "logc", "id", "y",
-            F.when(value > 0, 1.0).otherwise(-1.0).alias("predicted"),
-        )
-    )
-
-
-def _moved(state: DataFrame, gram: DataFrame, ends: DataFrame) -> DataFrame:
-    """State after each fit of ``ends`` has moved its pair as far as the box allows."""
-    at_up, at_low = F.col("end") == F.col("up.id"), F.col("end") == F.col("low.id")
-    rows = (
-        ends.select("*", F.explode(F.array("up.id", "low.id")).alias("end"))
-        .join(gram.select("a_ix", "b_ix", F.col("i").alias("end"), F.col("j").alias("id"), "v"),
-              ["a_ix", "b_ix", "end"])
-        .groupBy(*PROBLEM, "id", "c", "up", "low", "gap")
-        .agg(F.max(F.when(at_up, F.col("v"))).alias("ki"),
-             F.max(F.when(at_low, F.col("v"))).alias("kj"))
-    )
-    own, other = F.col("id") == F.col("up.id"), F.col("id") == F.col("low.id")
-    curve = F.greatest(
-        F.max(F.when(own, F.col("ki"))) + F.max(F.when(other, F.col("kj")))
-        - 2 * F.max(F.when(own, F.col("kj"))),
-        F.lit(1e-12),
-    )
-    room_up = F.when(F.col("up.y") > 0, F.col("c") - F.col("up.a")).otherwise(F.col("up.a"))
-    room_low = F.when(F.col("low.y") > 0, F.col("low.a")).otherwise(F.col("c") - F.col("low.a"))
-    steps = rows.groupBy(*PROBLEM, "c", "up", "low", "gap").agg(curve.alias("curve")).select(
-        *PROBLEM, F.least(F.col("gap") / F.col("curve"), room_up, room_low).alias("step")
-    )
-    moves = rows.join(steps, PROBLEM).select(
-        *PROBLEM, "id", "step", (F.col("ki") - F.col("kj")).alias("k"),
-        (own.cast("int") - other.cast("int")).alias("side"),
-    )
-    change = F.col("y") * F.coalesce("step", F.lit(0.0))
-    a = F.col("a") + change * F.coalesce("side", F.lit(0))
-    return state.join(moves, [*PROBLEM, "id"], "left").select(
-        *PROBLEM, "id", "y", "c",
-        F.greatest(F.lit(0.0), F.least(F.col("c"), a)).alias("a"),
-        (F.col("g") + change * F.coalesce("k", F.lit(0.0))).alias("g"),
+        held.join(weights, ["a_ix", "b_ix", "fold", "j"])
+        .groupBy(*keys)
+        .agg(F.when(value > 0, 1.0).otherwise(-1.0).alias("predicted"), F.first("converged").alias("converged"))
     )
 
 

@@ -21,7 +21,10 @@ def compare_targets(
     k_max: int = 20,
     weights: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Cluster every target, cut at k = 2..k_max and score each cut against the classes."""
+    """Cluster every target, cut at k = 2..k_max and score each cut against the classes, of which
+    there have to be two at least."""
+    if classes.select("class").distinct().limit(2).count() < 2:
+        raise ValueError("fewer than two classes")
     merges = hac(dist, link, weights)
     merges = cut_lineage(merges)
     assigned = cut(merges, k_max)
@@ -44,10 +47,11 @@ def compare_tree_distances(
     Trees are counted by structure and class first.  Everything quadratic runs over distinct
     structures, which stand for their trees by weight; the trees themselves are read once.
     """
+    texts = trees.groupBy("tree", "class").agg(F.count("*").alias("n"))  # Few: parsed after this.
     counted = cut_lineage(
-        canonical_trees(trees)
+        canonical_trees(texts)
         .groupBy("tree", "class")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .select(tree_reference(F.col("tree")).alias("id"), "tree", "class", "n")
     )
     distinct = counted.groupBy("id", "tree").agg(F.sum("n").alias("n"))

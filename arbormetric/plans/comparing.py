@@ -9,11 +9,13 @@ from arbormetric.operators import ranking as R
 from arbormetric.runtime import cut_lineage
 
 
-def compare_methods(scores: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
+def compare_methods(
+    scores: DataFrame, strict: bool = True, exact_limit: int = C.EXACT_LIMIT
+) -> dict[str, DataFrame]:
     """Gate the scores, then ranks, Friedman, signed-rank, z, Hommel, Shaffer and BH tables."""
     gated = cut_lineage(R.complete_datasets(scores, strict=strict))
     ranks = R.average_rank(gated)
-    wilcoxon = cut_lineage(C.wilcoxon_pairs(gated))
+    wilcoxon = cut_lineage(C.wilcoxon_pairs(gated, exact_limit=exact_limit))
     z = cut_lineage(C.rank_z(gated))
     return {
         "summary": R.score_summary(gated),

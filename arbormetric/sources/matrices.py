@@ -6,7 +6,7 @@ A file is ``*** DATASET name``, ``*** LABELS``, lines ``id:class``, a line
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbormetric.operators.pairs import symmetric
@@ -60,9 +60,17 @@ def header_problems(headers: DataFrame) -> DataFrame:
 
 
 def read_dm(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """``(target, i, j, d)`` with i < j and ``(path, id, class)``; other lines are ignored."""
+    """``(target, i, j, d)`` with i < j and ``(id, class)``; other lines are ignored.
+
+    A pair may stand in either half of a file, or in both with one value.  Raises for the problems
+    of ``header_problems``, for halves that disagree and for ids of several classes.
+    """
     lines = read_lines(spark, paths).select("path", "line")
-    headers = dm_header(spark, paths).select("path", "target")
+    headers = dm_header(spark, paths)
+    problems = header_problems(headers).limit(10).collect()
+    if problems:
+        raise ValueError("; ".join(f"{r.path}: {r.problem}" for r in problems))
+    headers = headers.select("path", "target")
     cell = F.split(F.col("cell"), ":")
     cells = (
         lines.filter(F.col("line").rlike(ROW))
@@ -72,16 +80,24 @@ def read_dm(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, Dat
             F.explode(F.split(F.trim(F.regexp_extract("line", ROW, 2)), r"\s+")).alias("cell"),
         )
         .select("path", "i", cell[0].cast("long").alias("j"), cell[1].cast("double").alias("d"))
-        .filter("i < j")
+        .filter("i <> j")
+        .groupBy("path", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+        .agg(_one_value("d", "a pair has several distances").alias("d"))
     )
     labels = lines.filter(F.col("line").rlike(LABEL)).select(
         "path",
         F.regexp_extract("line", LABEL, 1).cast("long").alias("id"),
         F.regexp_extract("line", LABEL, 2).alias("class"),
     )
+    labels = labels.groupBy("id").agg(_one_value("class", "an id has several classes").alias("class"))
     return cells.join(headers, "path").select("target", "i", "j", "d"), labels
 
 
+def _one_value(column: str, problem: str) -> Column:
+    several = F.min(column) != F.max(column)
+    return F.when(several, F.raise_error(F.lit(problem))).otherwise(F.min(column))
+
+
 def write_distances(dist: DataFrame, path: str) -> None:
     """The long table, one folder per target."""
     dist.write.partitionBy("target").parquet(path)

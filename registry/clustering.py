@@ -124,7 +124,7 @@ dist AS (
   SELECT 'pftt' AS target, p.i, p.j, p.total - coalesce(b.g, 0) AS d
   FROM tree_pairs p LEFT JOIN best b ON p.i = b.i AND p.j = b.j)"""]
 )
-K_MAX = 8
+K_MAX = 20
 
 
 def hac_sql(link: str, weighted: bool = False) -> str:

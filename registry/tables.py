@@ -75,7 +75,7 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tree per nation: market segments by orders, and below each its frequent priorities."""
+    """One tree per nation: market segments by orders, and below each its priorities."""
     counts = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -87,9 +87,7 @@ def nation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("n").alias("total"),
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "p"))).alias("ps"),
     )
-    leaves = F.transform(
-        F.filter("ps", lambda x: -x["order"] * 5 >= F.col("total")), lambda x: x["p"]
-    )
+    leaves = F.transform("ps", lambda x: x["p"])
     child = F.concat("c_mktsegment", F.lit("("), F.array_join(leaves, ","), F.lit(")"))
     trees = segments.groupBy("c_nationkey").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("order"), child.alias("t"))))

@@ -31,7 +31,7 @@ marked AS (
 segments AS (
   SELECT c_nationkey, c_mktsegment, any_value(total) AS total,
          c_mktsegment || '(' || coalesce(
-           string_agg(p, ',' ORDER BY n DESC, p) FILTER (WHERE n * 5 >= total), '') || ')' AS t
+           string_agg(p, ',' ORDER BY n DESC, p), '') || ')' AS t
   FROM marked GROUP BY 1, 2),
 trees AS (
   SELECT CAST(c_nationkey AS BIGINT) AS tree_id, any_value(r_name) AS class,

@@ -114,3 +114,11 @@ def test_all_tables(scores):
         "summary": 3, "ranks": 6, "mean_ranks": 3, "friedman": 1, "wilcoxon": 6, "z": 3,
         "hommel": 6, "shaffer": 3, "benjamini_hochberg": 6,
     }
+
+
+def test_uneven_methods_raise(spark):
+    rows = [(m, d, float(d)) for m in "ABC" for d in range(5)][:-1]
+    scores = spark.createDataFrame(rows, "method string, dataset int, score double")
+    for test in (C.friedman, C.rank_z):
+        with pytest.raises(Exception, match="unequal numbers"):
+            test(scores).collect()

@@ -4,6 +4,7 @@ from arbormetric.operators.variants import Variant
 from arbormetric.plans.clustering import compare_targets
 from arbormetric.sources import kernels, matrices, scores
 
+# The header keys and line forms of the matrix format.
 DM = """*** DATASET toy
 *** LABELS
 0:+1
@@ -33,11 +34,25 @@ def test_read_matrices(spark, files):
     want = [(0, 1, 1.0), (0, 2, 2.5), (1, 2, 3.0)]
     assert got == [("fttf50", *w) for w in want] + [("fttt", *w) for w in want]
     assert sorted((r.id, r["class"]) for r in labels.collect()) == sorted(
-        [(0, "+1"), (1, "-1"), (2, "+1")] * 2
+        [(0, "+1"), (1, "-1"), (2, "+1")]
     )
     assert matrices.header_problems(matrices.dm_header(spark, files)).count() == 0
 
 
+def test_half_matrices_and_gates(spark, tmp_path):
+    rows = {"low": "0: 0:0\n1: 0:1.0 1:0\n2: 0:2.5 1:3.0 2:0\n", "high": "0: 1:1.0 2:2.5\n1: 2:3.0\n", "odd": "0: 1:1.0\n1: 0:2.0\n"}
+    head = DM[: DM.index("0: 0:0")].format(exact="f", weight="0.50")
+    for name, text in rows.items():
+        (tmp_path / f"{name}.dm").write_text(head + text)
+    for name in ("low", "high"):
+        got = sorted((r.i, r.j, r.d) for r in matrices.read_dm(spark, str(tmp_path / f"{name}.dm"))[0].collect())
+        assert got == [(0, 1, 1.0), (0, 2, 2.5), (1, 2, 3.0)]
+    with pytest.raises(Exception, match="several distances"):
+        matrices.read_dm(spark, str(tmp_path / "odd.dm"))[0].collect()
+    with pytest.raises(ValueError, match="duplicated target"):
+        matrices.read_dm(spark, [str(tmp_path / "low.dm"), str(tmp_path / "high.dm")])
+
+
 def test_header_problems(spark, files, tmp_path):
     other = tmp_path / "c.dm"
     other.write_text(DM.format(exact="t", weight="1.00").replace("toy", "else"))

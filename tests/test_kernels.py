@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from arbormetric.functions.margin_fit import decision_values
+from arbormetric.functions.margin_fit import fit_margin
 from arbormetric.operators import polynomials as K
 from arbormetric.operators import search as G
 from arbormetric.plans.searching import search_kernel
@@ -66,11 +66,12 @@ def test_fit_meets_the_optimality_conditions():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(-1, 1, (20, 2)), rng.normal(1, 1, (20, 2))])
     y = np.repeat([-1.0, 1.0], 20)
-    f = decision_values(x @ x.T, y, np.arange(40), 1.0)
-    assert (np.sign(f) == y).mean() > 0.8
-    far = decision_values(np.outer([-2, -1, 1, 2], [-2, -1, 1, 2]).astype(float),
-                          np.array([-1.0, -1, 1, 1]), np.arange(4), 100.0)
-    assert far == pytest.approx([-2, -1, 1, 2], abs=1e-5)
+    weights, shift, converged = fit_margin(x @ x.T, y, 1.0)
+    f = x @ x.T @ weights + shift
+    assert converged and (np.sign(f) == y).mean() > 0.8
+    kernel = np.outer([-2, -1, 1, 2], [-2, -1, 1, 2]).astype(float)
+    weights, shift, _ = fit_margin(kernel, np.array([-1.0, -1, 1, 1]), 100.0)
+    assert kernel @ weights + shift == pytest.approx([-2, -1, 1, 2], abs=1e-5)
 
 
 def toy(spark):
@@ -98,19 +99,32 @@ def test_search(spark):
     assert found["optimal"].count() >= 1
 
 
-def test_rounds_equal_groups(spark):
+def line_gram(spark):
     x = np.array([-2.0, -1.1, 0.4, -0.3, 1.2, 2.1])
     rows = [(i, j, 0, 0, 1.0, 0.0, float(x[i] * x[j] + 1)) for i in range(6) for j in range(6)]
     gram = spark.createDataFrame(
         rows, "i long, j long, a_ix int, b_ix int, alpha double, beta double, v double"
     )
     y = [-1.0, -1.0, -1.0, 1.0, 1.0, 1.0]
-    labels = spark.createDataFrame(list(enumerate(y)), "id long, y double")
+    return gram, spark.createDataFrame(list(enumerate(y)), "id long, y double")
+
+
+def test_predictions_cover_all_rows_of_a_bounded_fit(spark):
+    terms_, labels = toy(spark)
+    gram = K.poly_eval(terms_, K.Range(1.0, 1.0, 1), K.Range(0.0, 0.0, 1))
+    found = G.grid_cv(gram, labels, K.Range(0.0, 0.0, 0), 2, 14).collect()
+    assert len(found) == 20 and all(r.predicted == r.y and r.converged for r in found)
+
+
+def test_a_gram_that_lacks_cells_raises(spark):
+    gram, labels = line_gram(spark)
     once = K.Range(0.0, 0.0, 1)
-    predicted = lambda limit: {
-        (r.c_ix, r.id): r.predicted for r in G.grid_cv(gram, labels, once, 2, limit).collect()
-    }
-    assert predicted(2000) == predicted(5)
+    assert G.grid_cv(gram, labels, once, 2).count() == 6
+    for cut in ("i <= j", "i <> 5", "j <> 0"):
+        with pytest.raises(Exception, match="lacks cells"):
+            G.grid_cv(gram.filter(cut), labels, once, 2).collect()
+    with pytest.raises(Exception, match="no label"):
+        G.grid_cv(gram, labels.filter("id > 0"), once, 2).collect()
 
 
 def test_folds_are_stratified(spark):
