@@ -213,11 +213,18 @@ pieces AS (
   FROM tp)
 SELECT id, string_agg(t, '' ORDER BY ex DESC, ey DESC) AS text FROM pieces GROUP BY id""",
         "poly_eval": w + GRAM_SQL + GRAM_END.replace("round({v}, 9) AS v", "v"),
-        "normalize_gram": w + GRAM_SQL.replace("gram AS (", "plain AS (") + """,
+        "normalize_gram": w + GRAM_SQL.replace("gram AS (", "plain AS (").replace(
+            "profiles AS (", "profiles AS MATERIALIZED ("
+        ) + """,
+diagonal AS MATERIALIZED (
+  SELECT a.id, g.a_ix, g.b_ix,
+         a.w * a.w + (a.s1 * a.s1 + a.s2 * a.s2 + a.s3 * a.s3) * g.beta
+         + (a.p1 * a.p1 + a.p2 * a.p2 + a.p3 * a.p3 + a.p4 * a.p4 + a.p5 * a.p5) * g.alpha AS v
+  FROM profiles a, grid g),
 gram AS (
   SELECT p.i, p.j, p.a_ix, p.b_ix, p.alpha, p.beta, p.v / sqrt(x.v * y.v) AS v
-  FROM plain p JOIN plain x ON x.i = p.i AND x.j = p.i AND x.a_ix = p.a_ix AND x.b_ix = p.b_ix
-  JOIN plain y ON y.i = p.j AND y.j = p.j AND y.a_ix = p.a_ix AND y.b_ix = p.b_ix)"""
+  FROM plain p JOIN diagonal x ON x.id = p.i AND x.a_ix = p.a_ix AND x.b_ix = p.b_ix
+  JOIN diagonal y ON y.id = p.j AND y.a_ix = p.a_ix AND y.b_ix = p.b_ix)"""
         + GRAM_END.format(v="v"),
         "param_grid": """WITH limits AS (
   SELECT p_brand, CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi

@@ -162,6 +162,18 @@ def target_names(spark, sf_dir):
     )
 
 
+def tile_coverage(spark, sf_dir):
+    """In how many tiles each pair of structures meets: one, for all pairs."""
+    tiles = P.pair_tiles(order_arrays(spark, sf_dir), "ref", 200, "size")
+    left = tiles.filter("block = bi").select("bi", "bj", F.col("ref").alias("x"))
+    right = tiles.filter("block = bj").select("bi", "bj", F.col("ref").alias("y"))
+    ordered = (F.col("bi") < F.col("bj")) | (F.col("x") < F.col("y"))
+    met = left.join(right, ["bi", "bj"]).filter(ordered)
+    return met.groupBy(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(
+        F.count("*").alias("tiles")
+    )
+
+
 def queries() -> dict:
     result = {
         "tree_nodes": lambda s, d: N.tree_nodes(order_trees(s, d)),
@@ -173,8 +185,7 @@ def queries() -> dict:
         "tree_text_roots": text_check,
         "target_names": target_names,
         "tree_pairs": lambda s, d: P.all_pairs(order_structures(s, d), "ref"),
-        "pair_tiles": lambda s, d: P.pair_tiles(order_arrays(s, d), "ref", 200, "size")
-        .groupBy("bi", "bj").agg(F.count("*").alias("trees"), F.sum("size").alias("nodes")),
+        "pair_tiles": tile_coverage,
         "symmetric_matrix": lambda s, d: P.symmetric(nation_paths(s, d)),
         "lower_triangle": lambda s, d: P.lower_triangle(P.symmetric(nation_paths(s, d))),
         "common_path_lengths": lambda s, d: T.common_path_lengths(order_arrays(s, d), "ref"),
@@ -220,6 +231,20 @@ square AS (
         "tree_pairs": _with(orders)
         + """ SELECT x.tree_id AS i, y.tree_id AS j
               FROM distinct_trees x JOIN distinct_trees y ON x.tree_id < y.tree_id""",
+        "pair_tiles": _with(orders)
+        + """ SELECT x.tree_id AS i, y.tree_id AS j, 1 AS tiles
+              FROM distinct_trees x JOIN distinct_trees y ON x.tree_id < y.tree_id""",
+        "tree_text_roots": """WITH tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^,\\s()]+|[()]')) AS t,
+         generate_subscripts(regexp_extract_all(text, '[^,\\s()]+|[()]'), 1) AS pos FROM documents),
+levels AS (
+  SELECT *, coalesce(sum(CASE t WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
+  FROM tokens),
+found AS (
+  SELECT doc_id, count(*) AS roots FROM levels WHERE depth = 0 AND t NOT IN ('(', ')') GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(roots, 0) AS INTEGER) AS roots
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id""",
         "symmetric_matrix": matrix + "SELECT * FROM square",
         "lower_triangle": matrix + "SELECT * FROM square WHERE j <= i",
         "common_path_lengths": path_sql(PATHS["pftt"], orders).replace(
