@@ -15,6 +15,8 @@ from arbormetric.llm.tables import small, stored, table
 DISTANCE = 3
 BLOCKS = (13, 13, 13, 13, 12)
 SIMILARITY = 0.8
+#: Edits tried before the full number that the similarity allows.
+NARROW = 24
 #: Words of fewer letters carry no weight in lines that have longer ones.
 LETTERS = 4
 #: Stands for a null id, and so goes before all others.
@@ -30,26 +32,26 @@ def line_words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``id, line, words`` for each line that has words."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
-    return rows.select("id", "line", line_words(F.col("own")).alias("words")).filter(F.size("words") > 0)
+    """``id, line, words`` for each line."""
+    # The outer form infers no filter, which would split every text twice.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
+    return rows.select("id", "line", line_words(F.col("own")).alias("words"))
 
 
 def _simhash(lines: DataFrame) -> DataFrame:
-    """``id, line, h1, h2, sim``. The words' hashes are summed up bit by bit, three counters in a
-    long, by one aggregation that combines before the shuffle. A counter holds two million
-    words; beyond that it runs into its neighbour, alike for equal lines."""
+    """``id, line, h1, h2, sim`` for each line that has words. The words' hashes are summed up bit by
+    bit, three counters in a long, by one aggregation that combines before the shuffle. A
+    counter holds a million words; beyond that it runs into its neighbour, alike for equal lines."""
     long_words = F.filter("words", lambda w: F.length(w) >= LETTERS)
     keyed = lines.select("id", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.size("words"), "words").alias("h2"), "words", long_words.alias("long"))
-    each = keyed.select("id", "line", "h1", "h2", F.explode(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
-    each = each.select("id", "line", "h1", "h2", F.xxhash64("w").alias("x"))
+    each = keyed.select("id", "line", "h1", "h2", F.explode_outer(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
+    each = each.filter("w is not null").select("id", "line", "h1", "h2", F.xxhash64("w").alias("x"))
     sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(21)]
     sums = each.groupBy("id", "line", "h1", "h2").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("x", 63)).alias("s63"), *sums)
-    bits = []
-    for bit in range(64):
-        counter = F.col("s63") if bit == 63 else F.shiftrightunsigned(f"s{bit % 21}", 21 * (bit // 21)).bitwiseAND(F.lit((1 << 21) - 1))
-        value = 1 << bit if bit < 63 else -(1 << 63)
-        bits.append(F.when(counter * 2 > F.col("n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
+    # A counter is over half of n if, raised by the rest to 2^20, it reaches bit 20.
+    rest = (F.lit((1 << 20) - 1) - F.floor(F.col("n") / 2)) * F.lit(LANES)
+    bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{i}") + rest, 20).bitwiseAND(F.lit(LANES)), i) for i in range(21)]
+    bits.append(F.when(F.col("s63") * 2 > F.col("n"), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select("id", "line", "h1", "h2", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
 
 
@@ -80,7 +82,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     texts = stored(texts.select("node", F.array_join("words", " ").alias("own")).groupBy("node").agg(F.min("own").alias("own")))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     most = F.floor(F.greatest(F.length("text_a"), F.length("text_b")) * (1 - similarity) + 1e-9).cast("int")
-    return both.withColumn("most", most).filter(F.expr("levenshtein(text_a, text_b, most) >= 0")).select("a", "b")
+    # Most pairs differ in a few signs, which a narrow band of the edit matrix tells.
+    near = F.expr(f"levenshtein(text_a, text_b, least(most, {NARROW})) >= 0 OR (most > {NARROW} AND levenshtein(text_a, text_b, most) >= 0)")
+    return both.withColumn("most", most).filter(near).select("a", "b")
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbormetric.functions.treetext import tree_reference
 from arbormetric.operators.clustering import cut, hac
-from arbormetric.operators.distances import structure_distances
+from arbormetric.operators.distances import self_distances, structure_distances
 from arbormetric.operators.evaluation import agreement, best_per_target, contingency, pivot_by_k
 from arbormetric.operators.nodes import canonical_trees
 from arbormetric.operators.variants import Variant
@@ -46,6 +46,9 @@ def compare_tree_distances(
 
     Trees are counted by structure and class first.  Everything quadratic runs over distinct
     structures, which stand for their trees by weight; the trees themselves are read once.
+    Under path shapes equal trees are apart from each other unless they are paths, so a structure
+    cannot stand for several of them there: that raises, and ``compare_targets`` over
+    ``tree_distances`` is the way for such trees.
     """
     texts = trees.groupBy("tree", "class").agg(F.count("*").alias("n"))  # Few: parsed after this.
     counted = cut_lineage(
@@ -55,6 +58,11 @@ def compare_tree_distances(
         .select(tree_reference(F.col("tree")).alias("id"), "tree", "class", "n")
     )
     distinct = counted.groupBy("id", "tree").agg(F.sum("n").alias("n"))
+    paths = [v for v in variants if v.shape == "p"]
+    if paths:
+        apart = self_distances(distinct.filter("n > 1"), paths, "id").filter("d > 0")
+        if apart.limit(1).count():
+            raise ValueError("equal trees are apart under path shapes: cluster the trees themselves")
     dist = structure_distances(distinct.withColumnRenamed("id", "ref"), variants)
     return compare_targets(
         dist, counted.select("id", "class", "n"), link, k_max, distinct.select("id", "n")

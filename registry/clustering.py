@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from registry.tables import (
     brand_classes,
     brand_distances,
+    nation_trees,
     order_clusters,
     order_trees,
     table,
@@ -18,8 +19,8 @@ from registry.trees import (
     CANON_SQL,
     CONTIGUOUS_SQL,
     DISTINCT_SQL,
+    NATION_SQL,
     NODE_SQL,
-    ORDER_SQL,
     PAIR_SQL,
     REF_SQL,
 )
@@ -117,7 +118,7 @@ classes AS (SELECT o_orderkey AS id, o_orderpriority AS class, 1 AS n FROM order
 SCORE_END = " SELECT target, CAST(k AS INTEGER) AS k, round(ari, 9) AS ari, round(nmi, 9) AS nmi FROM scores"
 MERGE_END = ' SELECT target, step, "left", "right", round(height, 9) AS height, size FROM merges'
 TREE_SQL = ",\n".join(
-    [ORDER_SQL, CANON_SQL, REF_SQL, DISTINCT_SQL, NODE_SQL.format(src="distinct_trees"), PAIR_SQL,
+    [NATION_SQL, CANON_SQL, REF_SQL, DISTINCT_SQL, NODE_SQL.format(src="distinct_trees"), PAIR_SQL,
      CONTIGUOUS_SQL.format(miss="0.0::DOUBLE", keep=0),
      """classes AS (SELECT ref AS id, class, count(*) AS n FROM refs GROUP BY 1, 2),
 dist AS (
@@ -125,6 +126,7 @@ dist AS (
   FROM tree_pairs p LEFT JOIN best b ON p.i = b.i AND p.j = b.j)"""]
 )
 K_MAX = 20
+TIES = 4
 
 
 def hac_sql(link: str, weighted: bool = False) -> str:
@@ -171,6 +173,15 @@ def tree_scores(spark, sf_dir, *variants, link="complete"):
     return compare_tree_distances(order_trees(spark, sf_dir), list(variants), link, K_MAX)
 
 
+def nation_scores(spark, sf_dir, *variants, link="complete"):
+    return compare_tree_distances(nation_trees(spark, sf_dir), list(variants), link, K_MAX)
+
+
+def tied_distances(spark, sf_dir):
+    """Brand distances cut to few values, so that most of them tie."""
+    return brand_distances(spark, sf_dir).withColumn("d", F.floor(F.col("d") * TIES).cast("double"))
+
+
 def queries() -> dict:
     pftt = Variant("p", False, True)
     result = {
@@ -195,11 +206,12 @@ def queries() -> dict:
         "compare_targets": lambda s, d: _rounded(brand_scores(s, d)["scores"], "ari", "nmi"),
         "pivot_by_k": lambda s, d: brand_scores(s, d, "ward")["ari_by_k"],
         "compare_tree_distances": lambda s, d: _rounded(
-            tree_scores(s, d, pftt)["scores"], "ari", "nmi"
+            nation_scores(s, d, pftt)["scores"], "ari", "nmi"
         ),
         "compare_tree_distances_upgma": lambda s, d: _rounded(
-            tree_scores(s, d, pftt, link="upgma")["scores"], "ari", "nmi"
+            nation_scores(s, d, pftt, link="upgma")["scores"], "ari", "nmi"
         ),
+        "pivot_nmi_by_k": lambda s, d: brand_scores(s, d)["nmi_by_k"],
         "compare_edit_distances": lambda s, d: _rounded(
             tree_scores(s, d, Variant("f"), Variant("s"), Variant("t", False))["best"],
             "best_ari", "best_nmi",
@@ -209,6 +221,11 @@ def queries() -> dict:
         result[f"hac_{link}"] = lambda s, d, link=link: _rounded(
             H.hac(brand_distances(s, d), link), "height"
         )
+    for link in ("single", "complete"):
+        result[f"hac_tied_{link}"] = lambda s, d, link=link: H.hac(tied_distances(s, d), link)
+        result[f"hac_tied_rounds_{link}"] = lambda s, d, link=link: H.hac(
+            tied_distances(s, d), link, group_limit=18
+        )
     for link in H.REDUCIBLE:
         result[f"hac_rounds_{link}"] = lambda s, d, link=link: _rounded(
             H.hac(brand_distances(s, d), link, group_limit=12), "height"
@@ -257,6 +274,14 @@ def oracle_sql() -> dict:
             f'max(CASE WHEN k = {k} THEN round(ari, 2) + 0.0 END) AS "{k}"' for k in range(2, K_MAX + 1)
         )
         + " FROM scores GROUP BY target",
+        "pivot_nmi_by_k": _with(
+            BRAND_SQL, BRAND_CLASS_SQL, hac_sql("complete"), CUT_SQL.format(k_max=K_MAX), AGREE_SQL
+        )
+        + " SELECT target, "
+        + ", ".join(
+            f'max(CASE WHEN k = {k} THEN round(nmi, 2) + 0.0 END) AS "{k}"' for k in range(2, K_MAX + 1)
+        )
+        + " FROM scores GROUP BY target",
         "compare_tree_distances": _with(
             TREE_SQL, hac_sql("complete", True), CUT_SQL.format(k_max=K_MAX), AGREE_SQL
         )
@@ -268,6 +293,10 @@ def oracle_sql() -> dict:
     }
     for link in H.LINKS:
         result[f"hac_{link}"] = _with(BRAND_SQL, hac_sql(link)) + MERGE_END
+    for link in ("single", "complete"):
+        tied = _with(BRAND_SQL.replace("dist AS (", "exact_dist AS ("),
+                     f"dist AS (SELECT target, i, j, floor(d * {TIES}) AS d FROM exact_dist)", hac_sql(link))
+        result[f"hac_tied_{link}"] = result[f"hac_tied_rounds_{link}"] = tied + MERGE_END
     for link in H.REDUCIBLE:
         result[f"hac_rounds_{link}"] = result[f"hac_{link}"]
     return result
