@@ -15,8 +15,10 @@ from arbormetric.llm.tables import small, stored, table
 DISTANCE = 3
 BLOCKS = (13, 13, 13, 13, 12)
 SIMILARITY = 0.8
-#: Edits tried before the full number that the similarity allows.
-NARROW = 24
+#: Numbers of edits tried before the full one that the similarity allows.
+NARROW = (16, 64)
+#: Lines of a bucket that are compared with one another at once.
+FEW = 4
 #: Words of fewer letters carry no weight in lines that have longer ones.
 LETTERS = 4
 #: Stands for a null id, and so goes before all others.
@@ -82,9 +84,11 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     texts = stored(texts.select("node", F.array_join("words", " ").alias("own")).groupBy("node").agg(F.min("own").alias("own")))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     most = F.floor(F.greatest(F.length("text_a"), F.length("text_b")) * (1 - similarity) + 1e-9).cast("int")
+    # Few bytes, much work: dealt out anew, so that the pairs are not put together in a few tasks.
+    both = both.withColumn("most", most).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Most pairs differ in a few signs, which a narrow band of the edit matrix tells.
-    near = F.expr(f"levenshtein(text_a, text_b, least(most, {NARROW})) >= 0 OR (most > {NARROW} AND levenshtein(text_a, text_b, most) >= 0)")
-    return both.withColumn("most", most).filter(near).select("a", "b")
+    tries = [f"(most > {low} AND levenshtein(text_a, text_b, least(most, {high})) >= 0)" for low, high in zip((-1, *NARROW), (*NARROW, 1 << 30), strict=True)]
+    return both.filter(F.expr(" OR ".join(tries))).select("a", "b")
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -93,22 +97,31 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Lines are in one group if their normal forms are equal, or a chain of pairs joins them whose
     SimHashes differ in at most DISTANCE bits and whose edit similarity is ``similarity`` or more.
-    Equal lines are one node. In a block's bucket every line is compared with the smallest first;
-    then all candidates still in different groups are compared, so no link is lost. A null text
+    Equal lines are one node. In a block's bucket a line meets those that follow in the order of the
+    hashes, which are all others in a bucket of up to FEW lines, and in a larger one the smallest;
+    then all candidates of large buckets still in different groups meet, so no link is lost. A null text
     has no lines, a null id counts as the smallest, rows that repeat an id and text have
     their lines once, and lines without words are no lines here.
     """
     lines = stored(_simhash(_lines(docs)))
     nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.min("sim").alias("sim"))
                    .withColumn("node", F.monotonically_increasing_id()))
-    bucket = Window.partitionBy("key")
+    bucket = Window.partitionBy("key").orderBy("sim", "node")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct("node", "sim")
     blocks = nodes.select("node", "sim", F.explode(_keys("sim")).alias("key"))
-    blocks = stored(blocks.withColumn("least", F.min(F.struct("node", "sim")).over(bucket)).withColumn("of", F.count("*").over(bucket))
-                    .filter("of > 1").select("key", "node", "sim", F.col("least.node").alias("lead"), F.col("least.sim").alias("lead_sim")))
-    stars = stored(blocks.filter((F.col("node") != F.col("lead")) & _near("sim", "lead_sim")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    blocks = blocks.withColumns({
+        "of": F.count("*").over(whole), "least": F.min(own).over(whole), "next": F.array(*(F.lead(own, i).over(bucket) for i in range(1, FEW)))})
+    near = F.transform(F.filter("next", lambda x: F.bit_count(F.col("sim").bitwiseXOR(x.sim)) <= DISTANCE), lambda x: x.node)
+    blocks = stored(blocks.select("key", "node", "sim", "of", F.col("least.node").alias("lead"), F.col("least.sim").alias("lead_sim"), near.alias("near"))
+                    .filter((F.size("near") > 0) | (F.col("of") > FEW)))
+    large = blocks.filter(F.col("of") > FEW)
+    stars = large.filter((F.col("node") != F.col("lead")) & _near("sim", "lead_sim")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    close = blocks.select("node", F.explode("near").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    stars = stored(stars.union(close).distinct())
     links = stored(_verified(docs, nodes, stars, similarity))
     roots = connected_components(links)
-    placed = blocks.join(roots.toDF("node", "root"), "node", "left").select("key", "node", "sim", F.coalesce("root", "node").alias("root"))
+    placed = large.join(roots.toDF("node", "root"), "node", "left").select("key", "node", "sim", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     placed = placed.join(mixed.select("key", "main"), "key")
