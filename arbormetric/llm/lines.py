@@ -33,28 +33,33 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), BREAK), "")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``id, line, words`` for each line."""
+    """``id, doc, line, words`` for each line; ``doc`` is the text's hash, which tells apart the
+    documents of an id."""
     # The outer form infers no filter, which would split every text twice.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
-    return rows.select("id", "line", line_words(F.col("own")).alias("words"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
+    return rows.select("id", "doc", "line", line_words(F.col("own")).alias("words"))
 
 
 def _simhash(lines: DataFrame) -> DataFrame:
-    """``id, line, h1, h2, sim`` for each line that has words. The words' hashes are summed up bit by
+    """``id, doc, line, h1, h2, sim`` for each line that has words. The words' hashes are summed up bit by
     bit, three counters in a long, by one aggregation that combines before the shuffle. A
     counter holds a million words; beyond that it runs into its neighbour, alike for equal lines."""
     long_words = F.filter("words", lambda w: F.length(w) >= LETTERS)
-    keyed = lines.select("id", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.size("words"), "words").alias("h2"), "words", long_words.alias("long"))
-    each = keyed.select("id", "line", "h1", "h2", F.explode_outer(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
-    each = each.filter("w is not null").select("id", "line", "h1", "h2", F.xxhash64("w").alias("x"))
+    keyed = lines.select("id", "doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.size("words"), "words").alias("h2"), "words", long_words.alias("long"))
+    each = keyed.select("id", "doc", "line", "h1", "h2", F.explode_outer(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
+    each = each.filter("w is not null").select("id", "doc", "line", "h1", "h2", F.xxhash64("w").alias("x"))
     sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(21)]
-    sums = each.groupBy("id", "line", "h1", "h2").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("x", 63)).alias("s63"), *sums)
+    sums = each.groupBy("id", "doc", "line", "h1", "h2").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("x", 63)).alias("s63"), *sums)
     # A counter is over half of n if, raised by the rest to 2^20, it reaches bit 20.
     rest = (F.lit((1 << 20) - 1) - F.floor(F.col("n") / 2)) * F.lit(LANES)
     bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{i}") + rest, 20).bitwiseAND(F.lit(LANES)), i) for i in range(21)]
     bits.append(F.when(F.col("s63") * 2 > F.col("n"), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select("id", "line", "h1", "h2", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
+    return sums.select("id", "doc", "line", "h1", "h2", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
 
 
 def _keys(sim: str) -> Column:
@@ -77,10 +82,10 @@ def _near(a: str, b: str) -> Column:
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes whose normalised lines are similar by edit distance, read in full."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "h1", "first.*")
-    wanted = small(stored(wanted)).select("node", "h1", "id", "line")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    wanted = small(stored(wanted)).select("node", "h1", "id", "doc", "line")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     words = line_words(F.try_element_at("lines", F.col("line") + 1))
-    texts = own.join(wanted, "id").select("node", "h1", words.alias("words")).filter(F.xxhash64("words") == F.col("h1"))
+    texts = own.join(wanted, ["id", "doc"]).select("node", "h1", words.alias("words")).filter(F.xxhash64("words") == F.col("h1"))
     texts = stored(texts.select("node", F.array_join("words", " ").alias("own")).groupBy("node").agg(F.min("own").alias("own")))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     most = F.floor(F.greatest(F.length("text_a"), F.length("text_b")) * (1 - similarity) + 1e-9).cast("int")
@@ -91,9 +96,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     return both.filter(F.expr(" OR ".join(tries))).select("a", "b")
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, line, first`` for each line with words of ``documents``: ``first(id, line)`` is the
-    group's occurrence that stays, the one of the smallest id and then place.
+def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, doc, line, first`` for each line with words of ``documents``: ``first(id, line, doc)`` is the
+    group's occurrence that stays, the one of the smallest id and then place and text hash.
 
     Lines are in one group if their normal forms are equal, or a chain of pairs joins them whose
     SimHashes differ in at most DISTANCE bits and whose edit similarity is ``similarity`` or more.
@@ -101,10 +106,11 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     hashes, which are all others in a bucket of up to FEW lines, and in a larger one the smallest;
     then all candidates of large buckets still in different groups meet, so no link is lost. A null text
     has no lines, a null id counts as the smallest, rows that repeat an id and text have
-    their lines once, and lines without words are no lines here.
+    their lines once, different texts of one id are documents of their own, and lines without words
+    are no lines here.
     """
     lines = stored(_simhash(_lines(docs)))
-    nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.min("sim").alias("sim"))
+    nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.min("sim").alias("sim"))
                    .withColumn("node", F.monotonically_increasing_id()))
     bucket = Window.partitionBy("key").orderBy("sim", "node")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -137,18 +143,26 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     moved = joined.join(least, "root").select("h1", "h2", "least")
     firsts = nodes.select("h1", "h2", "first").join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("first"))
-    return lines.select("id", "line", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "line", "first")
+    return lines.select("id", "doc", "line", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "doc", "line", "first")
+
+
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, line, first, doc, first_doc`` for each line with words: ``first(id, line)`` is the place of
+    the group's occurrence that stays, ``doc`` and ``first_doc`` are the hashes of the two texts."""
+    first = F.struct("first.id", "first.line")
+    return _groups(docs, similarity).select("id", "line", first.alias("first"), "doc", F.col("first.doc").alias("first_doc"))
 
 
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one occurrence of every group of lines: the others are cut from ``text``, and
     ``n_chars`` is that of the new text. A document that has lines with words and keeps none of
     them goes; one that never had any stays as it is, and so do all other columns."""
-    own = F.struct("id", "line") == F.col("first")
-    lines = stored(line_groups(docs, similarity).select("id", "line", own.alias("stays")))
-    cut = stored(lines.groupBy("id").agg(F.bool_or("stays").alias("__some"), F.collect_set(F.when(~F.col("stays"), F.col("line"))).alias("__cut"))
-                 .filter(F.size("__cut") > 0).withColumnRenamed("id", "__id"))
-    rows = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(small(cut), F.col("__own") == F.col("__id"), "left")
+    own = F.struct("id", "line", "doc") == F.col("first")
+    lines = stored(_groups(docs, similarity).select("id", "doc", "line", own.alias("stays")))
+    cut = stored(lines.groupBy("id", "doc").agg(F.bool_or("stays").alias("__some"), F.collect_set(F.when(~F.col("stays"), F.col("line"))).alias("__cut"))
+                 .filter(F.size("__cut") > 0).withColumnsRenamed({"id": "__id", "doc": "__doc"}))
+    rows = docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": _text_hash()})
+    rows = rows.join(small(cut), (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__doc")), "left")
     rows = rows.filter(F.coalesce("__some", F.lit(True)))
     text = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__cut", i)), "\n")
     rows = rows.withColumn("__text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(text))
@@ -157,8 +171,9 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, line, kept_doc_id, kept_line, kept`` for every line with words."""
-    groups = line_groups(table(spark, sf_dir, "documents"))
+    """``doc_id, line, kept_doc_id, kept_line, kept, text_hash, kept_text_hash`` for every line with words;
+    the hashes tell apart texts that share an id or have none."""
+    groups = _groups(table(spark, sf_dir, "documents"))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return groups.select(shown("id").alias("doc_id"), "line", shown("first.id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"),
-                         (F.struct("id", "line") == F.col("first")).alias("kept"))
+                         (F.struct("id", "line", "doc") == F.col("first")).alias("kept"), F.col("doc").alias("text_hash"), F.col("first.doc").alias("kept_text_hash"))

@@ -162,15 +162,22 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "bag_a", "bag_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of ids whose multisets overlap enough; every pair is compared in full."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    bags = stored(_sets(texts.join(small(ids), "id", "left_semi")))
+def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``text, id`` of the wanted nodes, ``id`` being the node; rows that repeat a node's id and text
+    give it again."""
+    own = nodes.join(wanted, "node", "left_semi").select("node", "id", "h1", "h2")
+    return rows.join(small(stored(own)), ["id", "h1", "h2"]).select("text", F.col("node").alias("id"))
+
+
+def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes whose multisets overlap enough; every pair is compared in full."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bags = stored(_sets(_texts(rows, nodes, wanted)).dropDuplicates(["id"]))
     first, second = bags.toDF("a", "bag_a"), bags.toDF("b", "bag_b")
     return _overlaps(pairs.join(first, "a").join(second, "b")).filter(F.col("similarity") >= similarity)
 
 
-def _across(texts: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+def _across(rows: DataFrame, nodes: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a, b`` of different roots in large buckets that look similar enough by their
     shingles' lower 32 bits, which may raise an overlap but never lower it; of the partners of a
     text one for each root and cell is given, since one link joins the classes.
@@ -180,13 +187,13 @@ def _across(texts: DataFrame, placed: DataFrame, similarity: float) -> DataFrame
     """
     if not placed.limit(1).count():
         return placed.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    ids = stored(placed.select("id").distinct())
-    short = stored(_sets(texts.join(small(ids), "id", "left_semi"), half=True))
-    rows, columns = F.ceil((F.col("of") - F.col("most")) / CELL).cast("int"), F.ceil(F.col("of") / CELL).cast("int")
+    wanted = placed.select(F.col("id").alias("node")).distinct()
+    short = stored(_sets(_texts(rows, nodes, wanted), half=True).dropDuplicates(["id"]))
+    heights, columns = F.ceil((F.col("of") - F.col("most")) / CELL).cast("int"), F.ceil(F.col("of") / CELL).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    minor = placed.filter("root <> main").select("key", part(rows).alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), "id", "root")
-    whole = placed.select("key", every(rows).alias("i"), part(columns).alias("j"), F.lit(1).alias("side"), "id", "root")
+    minor = placed.filter("root <> main").select("key", part(heights).alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), "id", "root")
+    whole = placed.select("key", every(heights).alias("i"), part(columns).alias("j"), F.lit(1).alias("side"), "id", "root")
     cells = minor.union(whole).join(short, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def compare(cell: pd.DataFrame) -> list[tuple[int, int]]:
@@ -228,35 +235,39 @@ def _across(texts: DataFrame, placed: DataFrame, similarity: float) -> DataFrame
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, h1, h2, root`` for every row of ``documents``: the smallest id of its class.
+    """``id, h1, h2, root, root_h1, root_h2`` for every row of ``documents``: its id and text hashes, and
+    those of its class's first document, the one of the smallest id and then hashes.
 
     Documents are in one class if their texts are equal or a chain of candidate pairs with a
     weighted Jaccard similarity of ``similarity`` or more joins them; candidates share one of the
     signature's bands. Equal texts stand for one another. Within a band's bucket every text is
     first compared with the smallest only, which joins most of a large group in as many comparisons
     as it has texts; then all candidates that are still in different classes are compared, pair by
-    pair in small buckets and in cells of large ones, so no link is lost. A null text is empty, texts without words only equal themselves, a null id
-    counts as the smallest and rows that repeat an id are one document.
+    pair in small buckets and in cells of large ones, so no link is lost. A null text is empty, texts
+    without words only equal themselves, a null id counts as the smallest, and rows are one document
+    only if they repeat both id and text: different texts of one id, null ids among them, are
+    documents of their own.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"),
                        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("h2"))
     signed = stored(_signed(rows))
-    texts = stored(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    bands = texts.select("id", "n", F.explode("bands").alias("key"))
+    nodes = stored(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+                   .withColumn("node", F.monotonically_increasing_id()))
+    bands = nodes.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("of")).filter("of > 1")
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
     members = stored(bands.join(shared, "key"))
     stars = stored(members.filter((F.col("id") != F.col("least.id")) & fits(F.col("n"), F.col("least.n")))
                    .select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = stored(verified(rows, stars, similarity))
+    links = stored(verified(rows, nodes, stars, similarity))
     roots = connected_components(links)
     placed = stored(members.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("of"),
                                       F.max("c").alias("most")).filter("roots > 1")
     placed = stored(placed.join(mixed.select("key", "main", "of", "most"), "key"))
-    found = _across(rows, placed.filter(F.col("of") > FEW), similarity)
+    found = _across(rows, nodes, placed.filter(F.col("of") > FEW), similarity)
     few = placed.filter(F.col("of") <= FEW)
     minor = few.filter("root <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     rest = (minor.join(few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key")
@@ -264,30 +275,37 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(found).distinct())
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        more = stored(verified(rows, rest, similarity))
+        more = stored(verified(rows, nodes, rest, similarity))
         if more.limit(1).count():
             roots = connected_components(links.union(more))
-    of_text = texts.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
-    return signed.select("id", "h1", "h2").join(of_text, ["h1", "h2"]).select("id", "h1", "h2", "root")
+    joined = nodes.select("node", "id", "h1", "h2").join(roots.toDF("node", "root"), "node")
+    least = joined.groupBy("root").agg(F.min(F.struct("id", "h1", "h2")).alias("least"))
+    moved = joined.join(least, "root").select("h1", "h2", "least")
+    of_text = nodes.select("h1", "h2", "id").join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", F.struct("id", "h1", "h2")).alias("least"))
+    return (signed.select("id", "h1", "h2").join(of_text, ["h1", "h2"])
+            .select("id", "h1", "h2", F.col("least.id").alias("root"), F.col("least.h1").alias("root_h1"), F.col("least.h2").alias("root_h2")))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with one document of each class, the one with the smallest id; of rows
-    that repeat its id one stays. All columns stay as they are."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    """The rows of ``docs`` with one document of each class, its first; of rows that repeat its id
+    and text one stays. All columns stay as they are."""
+    key = ["__id", "__h1", "__h2"]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text, F.length(text))})
     classes = stored(near_classes(docs, similarity))
-    gone = stored(classes.filter("id <> root").select(F.col("id").alias("__id")).distinct())
-    kept = docs.withColumn("__id", own).join(small(gone), "__id", "left_anti").select(*docs.columns, "__id")
-    again = classes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("__id")).join(gone, "__id", "left_anti")
-    again = stored(again)
+    first = F.struct("id", "h1", "h2") == F.struct(F.col("root").alias("id"), F.col("root_h1").alias("h1"), F.col("root_h2").alias("h2"))
+    gone = stored(classes.filter(~first).select("id", "h1", "h2").distinct().toDF(*key))
+    kept = rows.join(small(gone), key, "left_anti").select(*docs.columns, *key)
+    again = stored(classes.filter(first).groupBy("id", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("id", "h1", "h2").toDF(*key))
     if not again.limit(1).count():
-        return kept.drop("__id")
-    once = kept.join(small(again), "__id", "left_semi").select(*kept.columns).dropDuplicates(["__id"])
-    return kept.join(small(again), "__id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+        return kept.drop(*key)
+    once = kept.join(small(again), key, "left_semi").select(*kept.columns).dropDuplicates(key)
+    return kept.join(small(again), key, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, class_id``: the smallest id of the document's class."""
+    """``doc_id, class_id, text_hash, class_text_hash``: the document's class is named by the smallest
+    id in it and the hash of that one's text, which tells apart texts that share an id or have none."""
     classes = near_classes(table(spark, sf_dir, "documents"))
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return classes.select(shown("id").alias("doc_id"), shown("root").alias("class_id"))
+    return classes.select(shown("id").alias("doc_id"), shown("root").alias("class_id"), F.col("h1").alias("text_hash"), F.col("root_h1").alias("class_text_hash"))

@@ -140,3 +140,25 @@ def test_near_classes(spark):
     assert kept.columns == docs.columns
     assert sorted(near.NO_ID if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert near.near_classes(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    """Documents are told apart by id and text, null ids among them."""
+    rng = random.Random(13)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    near_of = lambda w: " ".join([*w, "changed"])
+    text = " ".join
+    texts = [(None, text(a)), (None, text(b)), (None, text(b)), (1, text(c)), (2, near_of(c)), (2, text(d)), (3, text(e)), (4, near_of(d)), (5, near_of(e)), (6, near_of(a))]
+    docs = docs_of(spark, texts)
+    kept = sorted((r.doc_id or 0, r.text) for r in near.keep_one(docs).collect())
+    assert kept == sorted([(0, text(a)), (0, text(b)), (1, text(c)), (2, text(d)), (3, text(e))])
+    classes = {(r.id, r.h1): (r.root, r.root_h1) for r in near.near_classes(docs).collect()}
+    assert len(set(classes.values())) == 5
+
+
+def test_cut_lines_of_texts_that_share_an_id(spark):
+    rng = random.Random(17)
+    lines = [" ".join(words(rng, 12)) for _ in range(7)]
+    texts = [(None, lines[0] + "\n" + lines[1]), (None, lines[2] + "\n" + lines[3]), (None, lines[4] + "\n" + lines[1]), (3, lines[5] + "\n" + lines[1]), (3, lines[1] + "\n" + lines[6])]
+    out = [r.text.split("\n") for r in without_repeated_lines(docs_of(spark, texts)).collect()]
+    assert sorted(line for own in out for line in own) == sorted(lines) and len(out) == 5
