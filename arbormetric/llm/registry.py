@@ -1,7 +1,7 @@
 """The queries of this folder and the SQL that checks them."""
 
 import corpus_pipeline
-from arbormetric.llm import fingerprints, language, lines, near, packing, pieces, pii, topk, urls, warc
+from arbormetric.llm import bytepairs, centroids, fingerprints, language, lines, manifest, near, packing, pieces, pii, topk, urls, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_bag_minhash": near.op8_bag_minhash,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_language_id": language.op10_language_id,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_byte_bpe": bytepairs.op12_byte_bpe,
+    "op13_manifest": manifest.op13_manifest,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op6_exact_topk": topk.OP6_SQL, "op7_warc": warc.OP7_SQL}
+ORACLES = {"op6_exact_topk": topk.OP6_SQL, "op7_warc": warc.OP7_SQL, "op11_centroids": centroids.OP11_SQL, "op13_manifest": manifest.OP13_SQL}
