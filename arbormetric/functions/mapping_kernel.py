@@ -1,4 +1,7 @@
-"""Distances of all tree pairs of one tile, by array recurrences over distinct subtrees.
+"""Ordered edit distances of all tree pairs of one tile, by array recurrences over distinct subtrees.
+
+The forests of this recurrence are made by deleting nodes, so they are no subtrees and have no table
+of their own to join with; all other shapes go by joins (``operators.levels``, ``operators.paths``).
 
 A side of a tile is the set of distinct subtrees of its trees, children before parents.  For one
 subtree of the left side a recurrence is run against every subtree of the right side at once, so
@@ -35,16 +38,6 @@ class Side:
         n = self.n = len(label)
         self.label = np.array(label)
         self.size = np.array(size + [0], dtype=float)
-        widest = max((len(k) for k in self.children), default=0)
-        self.kids = np.full((n, widest), n)
-        for v, kids in enumerate(self.children):
-            self.kids[v, : len(kids)] = kids
-        self.inserts = np.zeros((n, widest + 1))
-        np.cumsum(self.size[self.kids], axis=1, out=self.inserts[:, 1:])
-        height = [0] * n
-        for v, kids in enumerate(self.children):
-            height[v] = 1 + max((height[k] for k in kids), default=-1)
-        self.levels = _grouped(range(n), height)
 
     def preorder(self, v: int) -> list[int]:
         order, stack = [], [v]
@@ -98,40 +91,6 @@ def relabel_costs(a: Side, b: Side, weight: float, exact: bool) -> np.ndarray:
     return np.where(a.label[:, None] == b.label[None, :], 0.0, other)
 
 
-def _align(a: Side, b: Side, u: int, match: np.ndarray) -> np.ndarray:
-    """Cheapest alignment of the children of u with those of every v; the rest goes whole."""
-    row = b.inserts
-    for t in a.children[u]:
-        best = row + a.size[t]
-        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + match[t][b.kids])
-        row = b.inserts + np.minimum.accumulate(best - b.inserts, axis=1)
-    return row[:, -1]
-
-
-def _connected(a: Side, b: Side, cost: np.ndarray) -> np.ndarray:
-    """u matched with v, children aligned, unmatched children removed whole."""
-    matched = np.full((a.n, b.n + 1), np.inf)
-    for u in range(a.n):
-        matched[u, : b.n] = cost[u] + _align(a, b, u, matched)
-    return matched
-
-
-def _pieces(a: Side, b: Side, matched: np.ndarray) -> np.ndarray:
-    """Whole trees: matched pieces below, single nodes deleted above them."""
-    right = Suffixes(b, b.roots)
-    result = np.empty((len(a.roots), len(b.roots)))
-    for at, root in enumerate(a.roots):
-        order = a.preorder(root)
-        rows = [None] * len(order) + [right.left]
-        for i in range(len(order) - 1, -1, -1):
-            best = rows[i + 1] + 1.0
-            rest = np.take_along_axis(rows[i + int(a.size[order[i]])], right.after, 1)
-            best[:, :-1] = np.minimum(best[:, :-1], matched[order[i]][right.node] + rest)
-            rows[i] = right.settle(best)
-        result[at] = rows[0][:, 0]
-    return result
-
-
 def _edit(a: Side, b: Side, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ordered edit distance of all subtree pairs, and of their forests of children."""
     padded = np.full((a.n, b.n + 1), np.inf)
@@ -171,62 +130,9 @@ def _one_pair(a: Side, b: Side, rooted: np.ndarray) -> np.ndarray:
     return np.minimum(best, 0.0) + a.size[:-1, None] + b.size[None, :-1]
 
 
-def _separated(a: Side, b: Side, cost: np.ndarray) -> np.ndarray:
-    """Separate subtrees map to separate subtrees."""
-    tree = np.full((a.n, b.n + 1), np.inf)
-    tree_to_forest = np.empty((a.n, b.n))
-    size, below = b.size, b.size[:-1] - 1
-    for u in range(a.n):
-        beneath = a.size[u] - 1
-        forests = _align(a, b, u, tree)
-        start = beneath + size[:-1]
-        for t in a.children[u]:
-            forests = np.minimum(forests, tree_to_forest[t] + beneath - a.size[t])
-            start = np.minimum(start, tree[t, :-1] + beneath - a.size[t])
-        forests = forests.copy()
-        forest_to_tree = np.full(b.n + 1, np.inf)
-        for v in b.levels:
-            w = b.kids[v]
-            whole = a.size[u] + below[v]
-            if w.size:
-                inside = (forest_to_tree[w] - size[w]).min(axis=1) + below[v]
-                forests[v] = np.minimum(forests[v], inside)
-                whole = np.minimum(whole, (tree[u][w] - size[w]).min(axis=1) + below[v])
-            forest_to_tree[v] = np.minimum(start[v], forests[v] + 1)
-            tree_to_forest[u, v] = np.minimum(whole, forests[v] + 1)
-            tree[u, v] = np.minimum(
-                cost[u, v] + forests[v],
-                np.minimum(tree_to_forest[u, v], forest_to_tree[v]) + 1,
-            )
-    return tree[:, : b.n]
-
-
-def _agreement(a: Side, b: Side, cost: np.ndarray) -> np.ndarray:
-    """Roots matched and children aligned, or one side descends into a child."""
-    tree = np.full((a.n, b.n + 1), np.inf)
-    for u in range(a.n):
-        row = tree[u]
-        row[: b.n] = cost[u] + _align(a, b, u, tree)
-        for t in a.children[u]:
-            row[: b.n] = np.minimum(row[: b.n], tree[t, : b.n] + a.size[u] - a.size[t])
-        for v in b.levels[1:]:
-            w = b.kids[v]
-            row[v] = np.minimum(row[v], (row[w] - b.size[w]).min(axis=1) + b.size[v])
-    return tree[:, : b.n]
-
-
-def tile_distances(a: Side, b: Side, shape: str, gap: bool, exact: bool, weight: float):
-    """Matrix of the distances of the trees of ``a`` (rows) and ``b`` (columns)."""
+def tile_distances(a: Side, b: Side, shape: str, exact: bool, weight: float):
+    """Matrix of the distances of the trees of ``a`` (rows) and ``b`` (columns); shape f or t."""
     cost = relabel_costs(a, b, weight, exact)
-    if shape == "f" and not gap:
-        return _pieces(a, b, _connected(a, b, cost))
-    if shape == "f":
-        table = _edit(a, b, cost)[0]
-    elif shape == "t":
-        rooted = cost + _edit(a, b, cost)[1] if gap else _connected(a, b, cost)[:, : b.n]
-        table = _one_pair(a, b, rooted)
-    elif shape == "s":
-        table = _separated(a, b, cost)
-    else:
-        table = _agreement(a, b, cost)
+    trees, forests = _edit(a, b, cost)
+    table = _one_pair(a, b, cost + forests) if shape == "t" else trees
     return table[np.ix_(a.roots, b.roots)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,18 +12,18 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from arbormetric.functions.mapping_kernel import Side, tile_distances
 from arbormetric.functions.treetext import tree_reference
+from arbormetric.operators.levels import has_levels, level_distances
 from arbormetric.operators.nodes import canonical_trees, tree_arrays, tree_nodes
 from arbormetric.operators.pairs import BUDGET, pair_tiles
 from arbormetric.operators.paths import path_distances
-from arbormetric.operators.variants import NO_AGREEMENT, Variant
+from arbormetric.operators.variants import Variant
 from arbormetric.runtime import cut_lineage
 
 
-def mapping_distances(
-    arrays: DataFrame, key: str, variants: list[Variant], budget: int = BUDGET,
-    null_no_agreement: bool = False,
+def edit_distances(
+    arrays: DataFrame, key: str, variants: list[Variant], budget: int = BUDGET
 ) -> DataFrame:
-    """``(target, i, j, d)`` with i < j for shapes f, t, s and a.
+    """``(target, i, j, d)`` with i < j for shapes f and t with gaps.
 
     A task gets one tile: two blocks of about ``budget`` nodes each, however many trees there are.
     """
@@ -52,34 +54,38 @@ def mapping_distances(
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         parts = []
         for v in variants:
-            d = tile_distances(a, b, v.shape, v.gap, v.exact, v.weight)[keep]
-            d = np.where(np.isinf(d), NO_AGREEMENT, np.round(d, 9))
+            d = np.round(tile_distances(a, b, v.shape, v.exact, v.weight)[keep], 9)
             parts.append(pd.DataFrame({"target": v.target, "i": i, "j": j, "d": d}))
         return pd.concat(parts, ignore_index=True)
 
     tiles = pair_tiles(arrays, key, budget, "size")
-    result = tiles.groupBy("bi", "bj").applyInPandas(evaluate, schema)
-    if null_no_agreement:
-        result = result.withColumn("d", F.when(F.col("d") < NO_AGREEMENT, F.col("d")))
-    return result
+    return tiles.groupBy("bi", "bj").applyInPandas(evaluate, schema)
 
 
 def structure_distances(
-    distinct: DataFrame, variants: list[Variant], budget: int = BUDGET, key: str = "ref"
+    distinct: DataFrame, variants: list[Variant], budget: int = BUDGET, key: str = "ref",
+    costs: DataFrame | None = None,
 ) -> DataFrame:
     """``(target, i, j, d)`` over distinct structures ``(key, tree)``.
 
-    The structures are written once; whatever they come from is read once.
+    The structures are written once; whatever they come from is read once.  ``costs``
+    ``(label_a, label_b, cost)`` replaces the weight of the pairs of labels it has (either order);
+    shapes f and t with gaps do not take one.
     """
-    arrays = cut_lineage(tree_arrays(tree_nodes(distinct.select(key, "tree"), key), key))
     paths = [v for v in variants if v.shape == "p"]
-    others = [v for v in variants if v.shape != "p"]
+    levels = [v for v in variants if has_levels(v)]
+    edits = [v for v in variants if v not in paths and v not in levels]
+    if costs is not None and not all(v.exact for v in edits):
+        raise ValueError("shapes f and t with gaps take a weight, not a table of costs")
+    arrays = cut_lineage(tree_arrays(tree_nodes(distinct.select(key, "tree"), key), key))
     parts = []
-    if others:
-        parts.append(mapping_distances(arrays, key, others, budget))
+    if edits:
+        parts.append(edit_distances(arrays, key, edits, budget))
+    if levels:
+        parts.append(level_distances(arrays, key, levels, budget, costs))
     if paths:
-        parts.append(path_distances(arrays, key, paths, budget))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append(path_distances(arrays, key, paths, budget, costs))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def self_distances(distinct: DataFrame, variants: list[Variant], key: str = "ref") -> DataFrame:
@@ -110,6 +116,7 @@ def tree_distances(
     weight: float = 1.0,
     budget: int = BUDGET,
     variants: list[Variant] | None = None,
+    costs: DataFrame | None = None,
 ) -> DataFrame:
     """``(target, i, j, d)`` with i < j for all pairs of ``(tree_id, tree)``.
 
@@ -123,7 +130,7 @@ def tree_distances(
         )
     )
     distinct = named.select("ref", "tree").distinct()
-    between = structure_distances(distinct, variants, budget)
+    between = structure_distances(distinct, variants, budget, costs=costs)
     within = self_distances(distinct, variants).select(
         "target", F.col("ref").alias("i"), F.col("ref").alias("j"), "d"
     )

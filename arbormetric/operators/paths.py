@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbormetric.operators.levels import relabel_costs
 from arbormetric.operators.pairs import BUDGET, pair_tiles
 from arbormetric.operators.variants import Variant
 from arbormetric.runtime import cut_lineage
@@ -50,14 +51,19 @@ def path_id(path: Column) -> Column:
     return F.md5(F.array_join(path, " "))
 
 
-def _gain(p: Column, q: Column, variant: Variant) -> Column:
-    """Best total gain of aligning two label paths, as a fold of one row over the labels of p."""
-    mismatch = 0.0 if variant.exact else 2.0 - variant.weight
+def _gain(p: Column, q: Column, variant: Variant, relabel: Column | None = None) -> Column:
+    """Best total gain of aligning two label paths, as a fold of one row over the labels of p.
+    ``relabel`` maps pairs of labels, joined by a blank, to the costs that replace the weight."""
+    mismatch = F.lit(0.0 if variant.exact else 2.0 - variant.weight)
     forbidden = variant.exact
     zero = F.transform(q, lambda b: F.lit(0.0))
 
     def pair_gain(a: Column, b: Column) -> Column:
-        return F.when(a == b, F.lit(2.0)).otherwise(F.lit(mismatch))
+        other = mismatch
+        if relabel is not None:
+            cost = F.try_element_at(relabel, F.concat(a, F.lit(" "), b))
+            other = F.coalesce(2.0 - cost, mismatch)
+        return F.when(a == b, F.lit(2.0)).otherwise(other)
 
     def before(row: Column, at: Column) -> Column:
         return F.when(at > 0, F.get(row, at - 1)).otherwise(F.lit(0.0))
@@ -97,21 +103,37 @@ def _gain(p: Column, q: Column, variant: Variant) -> Column:
 
 
 def path_distances(
-    arrays: DataFrame, key: str, variants: list[Variant], budget: int = BUDGET
+    arrays: DataFrame, key: str, variants: list[Variant], budget: int = BUDGET,
+    costs: DataFrame | None = None,
 ) -> DataFrame:
-    """``(target, i, j, d)`` with i < j for the trees of ``(key, size, labels, sizes)``."""
+    """``(target, i, j, d)`` with i < j for the trees of ``(key, size, labels, sizes)``.
+
+    ``costs`` ``(label_a, label_b, cost)`` replaces the weight of the pairs of labels it has.
+    """
     ways = node_paths(arrays, key).filter("leaf").select(
         key, "size", "path", path_id(F.col("path")).alias("pid")
     )
-    scored = _path_pairs(ways.select("pid", "path").distinct(), budget)
+    distinct = ways.select("pid", "path").distinct()
+    if costs is not None:
+        distinct = _with_costs(distinct, costs)
+    scored = _path_pairs(distinct, budget)
+    relabel = F.col("relabel") if costs is not None else None
     gains = F.array(
         *[
-            F.struct(F.lit(v.target).alias("target"), _gain(F.col("p"), F.col("q"), v).alias("g"))
+            F.struct(
+                F.lit(v.target).alias("target"),
+                _gain(F.col("p"), F.col("q"), v, None if v.exact else relabel).alias("g"),
+            )
             for v in variants
         ]
     )
-    gains = scored.select("pid", "qid", F.explode(gains).alias("gain")).select(
-        "pid", "qid", "gain.target", "gain.g"
+    scored = scored.select("pid", "qid", F.explode(gains).alias("gain"))
+    # A gain is the same in both orders, so a pair is scored once.
+    one = F.struct("pid", "qid")
+    other = F.struct(F.col("qid").alias("pid"), F.col("pid").alias("qid"))
+    orders = F.when(F.col("pid") == F.col("qid"), F.array(one)).otherwise(F.array(one, other))
+    gains = scored.select(F.explode(orders).alias("of"), "gain").select(
+        "of.pid", "of.qid", "gain.target", "gain.g"
     )
     # First the best way of each tree against each path, then against each tree.
     left = ways.select(F.col(key).alias("i"), F.col("size").alias("si"), "pid")
@@ -128,19 +150,26 @@ def path_distances(
     )
 
 
+def _with_costs(distinct: DataFrame, costs: DataFrame) -> DataFrame:
+    """Paths with the costs of relabelling their own labels, a map by pair of labels."""
+    half = relabel_costs(costs).toDF("a", "b", "cost")
+    table = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
+    labels = distinct.select("pid", F.explode(F.array_distinct("path")).alias("a"))
+    entry = F.struct(F.concat("a", F.lit(" "), "b"), "cost")
+    own = labels.join(table, "a").groupBy("pid").agg(F.map_from_entries(F.collect_list(entry)).alias("relabel"))
+    return distinct.join(own, "pid", "left")
+
+
 def _path_pairs(distinct: DataFrame, budget: int) -> DataFrame:
-    """Every ordered pair of paths ``(pid, p, qid, q)``, by tile."""
+    """Every unordered pair of paths ``(pid, p, qid, q)`` once, by tile; further columns are p's."""
     tiles = pair_tiles(distinct, "pid", budget)
-    left = tiles.filter("block = bi").select("bi", "bj", F.col("pid"), F.col("path").alias("p"))
+    more = [c for c in distinct.columns if c not in ("pid", "path")]
+    left = tiles.filter("block = bi").select("bi", "bj", "pid", F.col("path").alias("p"), *more)
     right = tiles.filter("block = bj").select(
         "bi", "bj", F.col("pid").alias("qid"), F.col("path").alias("q")
     )
-    half = left.join(right, ["bi", "bj"]).filter("bi < bj or pid <= qid")
-    turned = half.filter("pid <> qid").select(
-        F.col("qid").alias("pid"), F.col("q").alias("p"), F.col("pid").alias("qid"),
-        F.col("p").alias("q"),
-    )
-    return half.select("pid", "p", "qid", "q").unionByName(turned)
+    pairs = left.join(right, ["bi", "bj"]).filter("bi < bj or pid <= qid")
+    return pairs.select("pid", "p", "qid", "q", *more)
 
 
 def label_trie(arrays: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,5 @@
 """Queries registered with the driver, grouped by area."""
 
-from registry import clustering, comparison, kernels, trees
+from registry import clustering, comparison, distances, kernels, trees
 
-MODULES = [comparison, trees, clustering, kernels]
+MODULES = [comparison, trees, distances, clustering, kernels]

@@ -197,9 +197,6 @@ def queries() -> dict:
     for name, v in PATHS.items():
         result[f"path_distance_{name}"] = structure_query(v)
         result[f"path_distance_{name}_nations"] = nation_query(v)
-    for v in all_variants(0.5):
-        if v.shape != "p":
-            result[f"distance_{v.target}"] = structure_query(v)
     return result
 
 
