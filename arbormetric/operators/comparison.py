@@ -55,13 +55,26 @@ def friedman(scores: DataFrame) -> DataFrame:
 
 
 def method_pairs(scores: DataFrame) -> DataFrame:
-    """``(a, b, dataset, diff)`` for a before b, ``diff`` = score of b minus score of a."""
-    left = scores.select(F.col("method").alias("a"), "dataset", F.col("score").alias("score_a"))
-    right = scores.select(F.col("method").alias("b"), "dataset", F.col("score").alias("score_b"))
+    """``(a, b, dataset, diff)`` for a before b, ``diff`` = score of b minus score of a.
+
+    A data set's scores are one array, so the scores are read and shuffled once.
+    """
+    own = F.array_sort(F.collect_list(F.struct("method", "score")))
+
+    def behind(x: Column, at: Column) -> Column:
+        later = F.filter(F.slice("_own", at + 2, F.size("_own")), lambda y: y["method"] > x["method"])
+        return F.transform(
+            later,
+            lambda y: F.struct(
+                x["method"].alias("a"), y["method"].alias("b"), (y["score"] - x["score"]).alias("diff")
+            ),
+        )
+
+    pairs = F.flatten(F.transform("_own", behind))
     return (
-        left.join(right, "dataset")
-        .filter("a < b")
-        .select("a", "b", "dataset", (F.col("score_b") - F.col("score_a")).alias("diff"))
+        scores.groupBy("dataset").agg(own.alias("_own"))
+        .select("dataset", F.explode(pairs).alias("_p"))
+        .select("_p.a", "_p.b", "dataset", "_p.diff")
     )
 
 

@@ -8,23 +8,35 @@ values always share a range, so the ranks are exact whatever the quantile error
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+from arbormetric.runtime import cut_lineage
+
+# Distinct values of a group that one task ranks, in about.
+ROWS = 100_000
 
 
 def cumulative_counts(
-    counts: DataFrame, keys: list[str], value: str, n: str, ranges: int = RANGES
+    counts: DataFrame, keys: list[str], value: str, n: str, rows: int = ROWS
 ) -> DataFrame:
     """Add ``n_before``: the sum of ``n`` over smaller ``value`` within ``keys``.
 
-    ``counts`` has one row per (keys, value).
+    ``counts`` has one row per (keys, value).  The largest group's rows tell how many ranges of
+    about ``rows`` are needed; where every group fits one, no cuts are made.
     """
+    counts = cut_lineage(counts)
+    most = counts.groupBy(*keys).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0]
+    ranges = ceil((most or 0) / rows)
+    if ranges <= 1:
+        before = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return counts.withColumn("n_before", F.coalesce(F.sum(n).over(before), F.lit(0)))
     cuts = counts.groupBy(*keys).agg(
         F.array_distinct(
-            F.percentile_approx(value, [i / ranges for i in range(1, ranges)], ranges * 100)
+            F.percentile_approx(value, [i / ranges for i in range(1, ranges)], max(10_000, ranges * 20))
         ).alias("_cuts")
     )
     placed = (

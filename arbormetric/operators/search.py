@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbormetric.functions.margin_fit import fit_margin
@@ -12,8 +13,10 @@ from arbormetric.operators.ordering import positions
 from arbormetric.operators.polynomials import Range
 from arbormetric.runtime import cut_lineage
 
-# Labelled rows, in expectation, from which a classifier is fitted.
+# Labelled rows, in expectation, from which a classifier is fitted, and those of each class and fold
+# that are drawn in any case, all of them where there are fewer.
 FIT_ROWS = 2000
+LEAST_ROWS = 50
 
 
 def stratified_folds(labels: DataFrame, folds: int) -> DataFrame:
@@ -34,16 +37,20 @@ def grid_cv(
     cross-validation.
 
     A classifier is fitted per grid point and fold on at most about ``fit_rows`` labelled rows,
-    drawn evenly by a hash of the id where there are more; every fold of a grid point is a task of
-    its own.  Predictions cover all rows: a join with the fitted weights and a sum.  A Gram row
-    without label, and a Gram table that lacks cells, raise.
+    drawn by a hash of the id where there are more, evenly but for LEAST_ROWS of each class and
+    fold; every fold of a grid point is a task of its own.  Predictions cover all rows: a join with
+    the fitted weights and a sum.  A Gram row without label, a label without Gram row, and a Gram
+    table that lacks cells, raise.  ``converged`` is false as well where a fit saw one class only
+    although the labels hold two.
     """
+    if folds < 2:
+        raise ValueError("fewer than two folds leave nothing to fit from")
     parts = cut_lineage(stratified_folds(labels, folds))
     values = [logc.low * (1.0 - s / logc.divisions) + logc.high * s / logc.divisions
               for s in range(logc.divisions + 1)] if logc.divisions else [logc.low]
     grid = list(dict.fromkeys(values))
-    part = min(1.0, fit_rows / max(1, parts.count()))
-    fitted = parts.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    fitted = _drawn(parts, fit_rows)
+    classes = parts.select("y").distinct().count()
     side = lambda end: fitted.select(F.col("id").alias(end), F.col("y").alias(f"y_{end}"), F.col("fold").alias(f"fold_{end}"))
     cells = (
         gram.join(side("i"), "i")
@@ -68,6 +75,7 @@ def grid_cv(
         out = []
         for c_ix, exponent in enumerate(grid):
             w, shift, converged = fit_margin(kernel, y, 10.0**exponent)
+            converged = converged and len(np.unique(y)) == classes
             out.append(pd.DataFrame({"c_ix": c_ix, "logc": exponent, "j": ids, "w": w, "shift": shift, "converged": converged}))
         result = pd.concat(out)
         result["n"] = len(ids)
@@ -81,15 +89,31 @@ def grid_cv(
     lacking = F.raise_error(F.lit("the Gram table lacks cells")).cast("double")
     value = F.when(F.count("*") != F.first("n"), lacking).otherwise(F.sum(F.col("w") * F.col("v")) + F.first("shift"))
     keys = ["a_ix", "b_ix", "c_ix", "alpha", "beta", "logc", F.col("i").alias("id"), "y"]
-    return (
+    predictions = (
         held.join(weights, ["a_ix", "b_ix", "fold", "j"])
         .groupBy(*keys)
         .agg(F.when(value > 0, 1.0).otherwise(-1.0).alias("predicted"), F.first("converged").alias("converged"))
     )
+    known = gram.filter("i = j").select(F.col("i").alias("id"), F.lit(False).alias("absent")).distinct()
+    unknown = F.raise_error(F.lit("a label has no Gram row")).cast("boolean")
+    absent = parts.join(known, "id", "left").filter(F.coalesce("absent", unknown)).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in predictions.schema]
+    )
+    return predictions.unionByName(absent)
+
+
+def _drawn(parts: DataFrame, fit_rows: int) -> DataFrame:
+    counts = parts.groupBy("y", "fold").agg(F.count("*").alias("n"))  # Two rows a fold.
+    share = F.greatest(F.lit(fit_rows) / F.sum("n").over(W.partitionBy()), F.lit(LEAST_ROWS) / F.col("n"))
+    shares = counts.select("y", "fold", F.least(share, F.lit(1.0)).alias("share"))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    return parts.join(F.broadcast(shares), ["y", "fold"]).filter(drawn).select("id", "y", "fold")
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
-    """``tp, fp, fn, tn`` of labels 1 and -1 per grid point."""
+    """``tp, fp, fn, tn`` of labels 1 and -1 per grid point, and whether all its fits ``converged``
+    if the predictions tell."""
+    known = [F.bool_and("converged").alias("converged")] if "converged" in predictions.columns else []
     y, p = F.col("y"), F.col("predicted")
 
     def count(label: int, answer: int):
@@ -100,6 +124,7 @@ def confusion(predictions: DataFrame) -> DataFrame:
         count(-1, 1).alias("fp"),
         count(1, -1).alias("fn"),
         count(-1, -1).alias("tn"),
+        *known,
     )
 
 

@@ -103,7 +103,8 @@ def allowed(shape, gap, x, y, mapping):
     return True
 
 
-def distance(shape, gap, exact, weight, a, b):
+def distance(shape, gap, exact, weight, a, b, costs=None):
+    """``costs`` has the costs of some pairs of labels, as frozensets; the others cost ``weight``."""
     x, y = parse(a), parse(b)
     best = None
     for mapping in ordered_mappings(x, y):
@@ -112,6 +113,7 @@ def distance(shape, gap, exact, weight, a, b):
         if not allowed(shape, gap, x, y, mapping):
             continue
         cost = len(x) + len(y) - 2 * len(mapping)
-        cost += sum(weight for u, v in mapping if x[u][0] != y[v][0])
+        pairs = [frozenset((x[u][0], y[v][0])) for u, v in mapping if x[u][0] != y[v][0]]
+        cost += sum((costs or {}).get(pair, weight) for pair in pairs)
         best = cost if best is None else min(best, cost)
     return 100000000.0 if best is None else best

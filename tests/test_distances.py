@@ -2,21 +2,20 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from arbormetric.operators.distances import mapping_distances, structure_distances, tree_distances
+from arbormetric.operators.distances import structure_distances, tree_distances
+from arbormetric.operators.levels import level_distances, relabel_costs, tree_subtrees
 from arbormetric.operators.nodes import structures, tree_arrays, tree_nodes
 from arbormetric.operators.variants import Variant, all_variants
 from brute_force import distance
 
-# x, y, then distances: relabel f/t/s, relabel a, exact f/t/s, exact a, relabel p, exact p.
-HAND = [
-    ("k", "m", 1, 1, 2, 1e8, 1, 2),
-    ("k", "k(m)", 1, 1, 1, 1, 1, 1),
-    ("m", "k(m)", 1, 1, 1, 1, 1, 1),
-    ("q", "k(m)", 2, 2, 3, 1e8, 2, 3),
-    ("k(m)", "k(q)", 1, 1, 2, 2, 1, 2),
-    ("k(m,q,r)", "k(m,q)", 1, 1, 1, 1, 3, 3),
+# Trees of depth 3 and more with repeated labels and unlike shapes.
+DEEP = [
+    "m(n(o(m)),o)",
+    "o(n(m,n(o)))",
+    "n(n(n(o(n))))",
+    "o(m(o,n),m)",
+    "n(o(m(n),o))",
 ]
 
 
@@ -44,22 +43,60 @@ def random_tree(rng, size):
 
 
 @pytest.fixture(scope="module")
-def hand(spark):
-    texts = sorted({t for row in HAND for t in row[:2]})
-    found = matrix(tree_distances(table(spark, texts), variants=all_variants()))
-    place = {t: n for n, t in enumerate(texts)}
-    return lambda target, x, y: found[(target, *sorted((place[x], place[y])))]
+def deep(spark):
+    return matrix(tree_distances(table(spark, DEEP), variants=all_variants()))
 
 
-@pytest.mark.parametrize("row", HAND)
-def test_hand_values(hand, row):
-    x, y, *want = row
-    for v in all_variants():
-        group = {"a": 1, "p": 4}.get(v.shape, 0)
-        index = group + 1 if group == 4 and v.exact else group
-        if v.shape != "p":
-            index = group + (2 if v.exact else 0)
-        assert hand(v.target, x, y) == want[index], v
+@pytest.mark.parametrize("v", all_variants(), ids=lambda v: v.target)
+def test_deep_trees(deep, v):
+    for i, j in itertools.combinations(range(len(DEEP)), 2):
+        want = distance(v.shape, v.gap, v.exact, v.weight, DEEP[i], DEEP[j])
+        assert deep[(v.target, i, j)] == pytest.approx(want), (DEEP[i], DEEP[j])
+
+
+COSTS = [("m", "n", 0.25), ("o", "m", 1.75), ("n", "n", 9.0), ("q", "z", 5.0)]
+
+
+def test_relabel_costs(spark):
+    """Single labels cost what the table says, in either order; the rest costs the weight."""
+    texts = DEEP[:4] + ["n(m,q)", "m", "o(q)"]
+    variants = [v for v in all_variants(0.5) if v.exact or v.gap is False or v.shape in "sap"]
+    costs = spark.createDataFrame(COSTS, "label_a string, label_b string, cost double")
+    found = matrix(tree_distances(table(spark, texts), variants=variants, costs=costs))
+    given = {frozenset(c[:2]): c[2] for c in COSTS}
+    for v in variants:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            want = distance(v.shape, v.gap, v.exact, v.weight, texts[i], texts[j], given)
+            assert found[(v.target, i, j)] == pytest.approx(want), (v, texts[i], texts[j])
+    none = costs.limit(0)
+    plain = matrix(tree_distances(table(spark, texts[:3]), variants=variants))
+    assert matrix(tree_distances(table(spark, texts[:3]), variants=variants, costs=none)) == plain
+
+
+@pytest.mark.parametrize("rows", [
+    [("a", "b", 1.0), ("b", "a", 2.0)], [("a", "b", None)], [("a", "b", -1.0)]])
+def test_costs_that_raise(spark, rows):
+    costs = spark.createDataFrame(rows, "label_a string, label_b string, cost double")
+    for shape in ("s", "p"):
+        with pytest.raises(Exception, match="relabel cost"):
+            tree_distances(table(spark, ["a", "b(a)"]), variants=[Variant(shape)], costs=costs).collect()
+    with pytest.raises(ValueError, match="weight"):
+        tree_distances(table(spark, ["a", "b"]), variants=[Variant("f")], costs=costs)
+
+
+def test_costs_given_twice_alike(spark):
+    costs = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.5)], "label_a string, label_b string, cost double")
+    assert [tuple(r) for r in relabel_costs(costs).collect()] == [("a", "b", 0.5)]
+
+
+def test_subtrees(spark):
+    arrays = tree_arrays(tree_nodes(table(spark, ["a(b(c),b(c))", "b(c)"])))
+    rows = tree_subtrees(arrays, "tree_id").collect()
+    at = {(r.tree_id, r.pos): r for r in rows}
+    assert at[0, 1].id == at[0, 3].id == at[1, 0].id and at[0, 2].id == at[1, 1].id
+    assert [(at[0, n].size, at[0, n].height, len(at[0, n].kids)) for n in range(5)] == [
+        (5, 2, 2), (2, 1, 1), (1, 0, 0), (2, 1, 1), (1, 0, 0)]
+    assert at[0, 0].kids == [at[0, 1].id, at[0, 3].id]
 
 
 @pytest.mark.parametrize("budget", [4000, 6])
@@ -104,8 +141,9 @@ def test_equal_trees_and_structures(spark):
 
 def test_no_agreement_as_null(spark):
     arrays = tree_arrays(tree_nodes(table(spark, ["a", "b"])))
-    out = mapping_distances(arrays, "tree_id", [Variant("a", True, True)], null_no_agreement=True)
-    assert out.select(F.col("d").isNull()).first()[0]
+    for null, want in ((True, None), (False, 1e8)):
+        out = level_distances(arrays, "tree_id", [Variant("a", True, True)], null_no_agreement=null)
+        assert out.first().d == want
 
 
 def test_undefined_variants():

@@ -3,6 +3,8 @@ import pytest
 from arbormetric.operators.variants import Variant
 from arbormetric.plans.clustering import compare_targets
 from arbormetric.sources import kernels, matrices, scores
+from arbormetric.sources.scores import read_scores
+from arbormetric.sources.trees import read_trees
 
 # The header keys and line forms of the matrix format.
 DM = """*** DATASET toy
@@ -120,3 +122,16 @@ def test_results(spark, files, tmp_path):
         {n: outcomes for n in ("best", "labels", "gram", "diagonal")}, str(tmp_path / "model")
     )
     assert spark.read.parquet(str(tmp_path / "model/best")).count() == 1
+
+
+def test_lines_of_several_files_are_in_path_order(spark, tmp_path):
+    """Spark reads large files first; places follow the paths all the same."""
+    (tmp_path / "a.txt").write_text("x:a\ny:b\n")
+    (tmp_path / "b.txt").write_text("".join(f"z:c{n}\n" for n in range(400)))
+    (tmp_path / "c.txt").write_text("w:d\n")
+    trees = {r.tree_id: r.tree for r in read_trees(spark, str(tmp_path)).collect()}
+    assert [trees[n] for n in (0, 1, 2, 401, 402)] == ["a", "b", "c0", "c399", "d"] and len(trees) == 403
+    (tmp_path / "s1.csv").write_text("m,1\n" + "k,5\n" * 300)
+    (tmp_path / "s2.csv").write_text("m,2\n")
+    scores = read_scores(spark, [str(tmp_path / "s1.csv"), str(tmp_path / "s2.csv")])
+    assert {r.method: r.score for r in scores.collect()}["m"] == 2

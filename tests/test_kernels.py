@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbormetric.functions.margin_fit import fit_margin
 from arbormetric.operators import polynomials as K
@@ -136,3 +137,41 @@ def test_labels_are_checked(spark):
     bad = spark.createDataFrame([(0, 2.0)], "id long, y double")
     with pytest.raises(Exception, match="labels must be"):
         G.stratified_folds(bad, 2).collect()
+
+
+def test_labels_without_gram_rows_raise(spark):
+    gram, labels = line_gram(spark)
+    more = labels.unionByName(spark.createDataFrame([(17, 1.0)], "id long, y double"))
+    once = K.Range(0.0, 0.0, 1)
+    with pytest.raises(Exception, match="no Gram row"):
+        G.grid_cv(gram, more, once, 2).collect()
+    with pytest.raises(Exception, match="no Gram row"):
+        G.confusion(G.grid_cv(gram, more, once, 2)).collect()
+    with pytest.raises(ValueError, match="two folds"):
+        G.grid_cv(gram, labels, once, 1)
+
+
+def test_a_rare_class_is_drawn(spark):
+    """Of 30,000 rows 60 are in the rare class, all of which every draw of 100 has."""
+    parts = spark.range(30_000).selectExpr("id", "if(id % 500 = 0, 1.0D, -1.0D) as y", "cast(id % 2 as int) as fold")
+    parts = parts.withColumn("fold", (F.col("id") / 500).cast("int") % 2)
+    drawn = {(r.y, r.fold): r["count"] for r in G._drawn(parts, 100).groupBy("y", "fold").count().collect()}
+    assert drawn[1.0, 0] == drawn[1.0, 1] == 30
+    assert 20 < drawn[-1.0, 0] < 150
+
+
+def test_convergence_reaches_the_model(spark):
+    rows = [(0, 0, c, 1.0, 1.0, float(c), i, 1.0, 1.0, i != 3 or c != 1) for c in range(2) for i in range(5)]
+    found = G.confusion(spark.createDataFrame(
+        rows, "a_ix int, b_ix int, c_ix int, alpha double, beta double, logc double, id long, y double, predicted double, converged boolean"))
+    assert {r.c_ix: r.converged for r in found.collect()} == {0: True, 1: False}
+    assert G.select_model(found).first().converged
+
+
+def test_a_fit_that_sees_one_class_is_flagged(spark):
+    gram, _ = line_gram(spark)
+    # The only row of one class is in fold 0, so the fit for fold 0 sees the other class alone.
+    labels = spark.createDataFrame([(i, 1.0 if i == 5 else -1.0) for i in range(6)], "id long, y double")
+    folds = {r.id: r.fold for r in G.stratified_folds(labels, 2).collect()}
+    found = {r.id: r.converged for r in G.grid_cv(gram, labels, K.Range(0.0, 0.0, 1), 2).collect()}
+    assert not any(found[i] for i in found if folds[i] == folds[5])
