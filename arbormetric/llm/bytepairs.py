@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbormetric.llm.tables import table
+from arbormetric.llm.tables import byte_runs, table
 
 #: Characters of a text's pre-tokens that are encoded at once, and bytes of a batch's texts whose ids
 #: are held together.
@@ -90,7 +90,8 @@ class BytePairs:
         self.unknown = len(ranks)
         self.split = regex.compile(pattern)
         self.signs = byte_signs()
-        self.bytes_of = codecs.charmap_build(self.signs)
+        bytes_of = codecs.charmap_build(self.signs)
+        self.pieces = [codecs.charmap_encode(self.model.id_to_piece(i), "strict", bytes_of)[0] if p != bytes([BREAK]) else p for i, p in enumerate(ranks)]
         # A pre-token that is a piece is that piece, also where its merges lead elsewhere.
         whole = {self._signed(p): rank for rank, p in enumerate(ranks) if BREAK not in p}
         self.apart = {t: whole[t] for t, ids in zip(whole, self.model.encode([*whole], num_threads=1), strict=True) if ids != [whole[t]]}
@@ -122,7 +123,8 @@ class BytePairs:
         return ids[ids != self.unknown]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return codecs.charmap_encode(self.model.decode(ids.tolist()), "strict", self.bytes_of)[0]
+        """The bytes behind the signs of each id's piece."""
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
 @functools.lru_cache(1)
@@ -137,7 +139,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, vocabulary: str, pattern:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary, pattern)
         for batch in batches:
-            for at, upto in _runs(batch.column(1)):
+            for at, upto in byte_runs(batch.column(1), BATCH_BYTES):
                 ids = [np.concatenate([np.empty(0, np.int64), *coder.chunks(t)]) for t in batch.column(1)[at:upto].to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
@@ -162,19 +164,6 @@ def decode_ids(encoded: DataFrame, key: str, ids: str, vocabulary: str, pattern:
     return own.mapInArrow(decode, "key long, data binary").withColumnRenamed("key", key)
 
 
-def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Places of runs of rows with about BATCH_BYTES of text; a longer text is a run of its own."""
-    start, held = 0, 0
-    sizes = pa.compute.binary_length(texts).to_pylist()
-    for at, size in enumerate(sizes):
-        if at > start and held + size > BATCH_BYTES:
-            yield start, at
-            start, held = at, 0
-        held += size
-    if len(sizes) > start:
-        yield start, len(sizes)
-
-
 def coded_digests(docs: DataFrame, key: str, text: str, vocabulary: str, pattern: str) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` for each row: the digests of the decimal ids
     joined by one space and of the bytes decoded from them, part by part, so that no more than a part

@@ -11,59 +11,89 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbormetric.llm.tables import table
+from arbormetric.llm.bytepairs import byte_signs
+from arbormetric.llm.tables import byte_runs, table
 
 CAPACITY = 2048
 OPEN_BINS = 256
 SHARD_ROWS = 8192
-#: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_200_000
-BLANK = re.compile(r"[ \t\r\n]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Bytes of text that a task encodes at once; a longer text is encoded alone.
+BATCH_BYTES = 1 << 23
 MARK = "\x01"
+#: Letters of ASCII and Latin-1 with common signs behind them; their lower and composed forms are plain.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Pre-tokens whose ids a worker keeps before it starts afresh, some 100 bytes each.
+REMEMBERED = 1 << 18
+SIGNS = byte_signs()
 
 
 class WordIds:
-    """Ids of whole texts, as little-endian bytes, from the ids of their words. The vocabulary's
-    pre-tokenizer drops white space and never joins what white space parts, so the ids of a text
-    are those of its words in order; a worker encodes every distinct word once."""
+    """Ids of whole texts from the ids of their words. The vocabulary's pre-tokenizer drops white
+    space and never joins what white space parts, so the ids of a text are those of its words in
+    order, and every distinct word of a batch is looked at once. A plain word is letters and signs
+    behind them, which the pre-tokenizer parts: its merges are asked for directly, in lower case,
+    and kept for later batches. All other words go through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.mark = self._ids(MARK)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w and "<|" not in w]
-        self.words.update((w, self._ids(w)) for w in words if MARK in w or "<|" in w)
+        self.kept: dict[str, bytes] = {"": b""}
+        self.mark = self._ids(MARK)[0]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _merged(self, token: str) -> bytes:
+        """Ids of one pre-token; letters stand as the signs of their bytes."""
+        own = self.kept.get(token)
+        if own is None:
+            signs = "".join(map(SIGNS.__getitem__, token.encode()))
+            own = self.kept[token] = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
+        return own
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words, and where those of each begin and how many they are."""
+        if len(self.kept) > REMEMBERED:
+            self.kept = {"": b""}
+        plain = map(PLAIN.fullmatch, words)
+        found = [self._merged(m[1].lower()) + self._merged(m[2]) if m else None for m in plain]
+        others = [n for n, own in enumerate(found) if own is None]
         # Many words in one text, parted by a character that none of them holds.
-        for at in range(0, len(plain), 500):
-            part = plain[at : at + 500]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
-            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.words.update(zip(part, (data[i:j] for i, j in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        # str.split parts at these separators as well, which are no white space to the vocabulary.
-        split = [BLANK.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        self._learn(list(set().union(*split).difference(self.words)))
-        return [b"".join(map(self.words.__getitem__, w)) for w in split]
+        joined = [n for n in others if MARK not in words[n] and "<|" not in words[n]]
+        for at in range(0, len(joined), 500):
+            own = joined[at : at + 500]
+            ids = self._ids(f" {MARK} ".join([words[n] for n in own]))
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            data = ids.tobytes()
+            for n, start, end in zip(own, cuts[:-1], cuts[1:], strict=True):
+                found[n] = data[4 * start + 4 : 4 * end]
+        for n in others:
+            if found[n] is None:
+                found[n] = self._ids(words[n]).tobytes()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        # Blanks, tabs and line ends of ASCII are white space to the vocabulary; other kinds stay
+        # inside of words, which it parts by itself.
+        words = pc.ascii_split_whitespace(texts)
+        counts = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        ids, starts, sizes = self._of_words(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        own = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        flat = ids[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])]
+        return np.split(flat, ends[np.cumsum(counts)[:-1]]) if len(texts) else []
 
 
 @functools.lru_cache(1)
 def _encoder(vocabulary: str) -> WordIds:
-    """One for all tasks of a worker, so that it learns every word once."""
     return WordIds(vocabulary)
 
 
@@ -74,13 +104,13 @@ def token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, capacity
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, upto in byte_runs(batch.column(1), BATCH_BYTES):
+                part = batch.slice(at, upto - at)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    data = ids.tobytes() + end
+                    for piece, start in enumerate(range(0, len(data) // 4, capacity)):
+                        own = data[4 * start : 4 * (start + capacity)]
                         rows.append((doc, piece, start, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)

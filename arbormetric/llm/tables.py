@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of two numbers up to which a side may be broadcast; a larger side is joined by a shuffle.
@@ -47,3 +50,27 @@ def discard(df: DataFrame) -> None:
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if its checked number of rows allows one."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def byte_runs(texts: pa.Array, most: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Places of runs of rows with about ``most`` bytes of text, and ``rows`` rows, at most; a longer
+    text is a run of its own."""
+    start, held, sizes = 0, 0, pc.binary_length(texts).to_pylist()
+    for at, size in enumerate(sizes):
+        size = size or 0
+        if at > start and (held + size > most or at - start == rows):
+            yield start, at
+            start, held = at, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
