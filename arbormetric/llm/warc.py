@@ -136,8 +136,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def page_records(records: DataFrame) -> DataFrame:
     """Per record of ``read_warc``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Size and digest come from the payload read back; a revisit takes them from the response it
-    refers to. A record without such a response keeps nulls.
+    Size and digest come from the payload read back; a revisit takes the size from the response that
+    it refers to by id and by the digest in its own header, as several pages may share an id. A
+    record without such a response keeps nulls.
     """
     header = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r]*)", 1)
     page = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: <urn:page:(-?[0-9]*)>", 1).try_cast("long")
@@ -145,15 +146,15 @@ def page_records(records: DataFrame) -> DataFrame:
     payload = F.expr(f"substring(block, {len(END)} + locate('\\r\\n\\r\\n', cast(substring(block, 1, 4096) as string)))")
     rows = records.select(
         page("WARC-Record-ID").alias("page_id"), header("WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"), payload.alias("payload"))
-    rows = rows.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"),
+        page("WARC-Refers-To").alias("refers_to"), header("WARC-Payload-Digest").alias("named"), payload.alias("payload"))
+    rows = rows.select("page_id", "record_type", "refers_to", F.substring_index("named", ":", -1).alias("named"), F.octet_length("payload").cast("long").alias("bytes"),
                        F.sha2("payload", 256).alias("digest"))
     rows = stored(rows)
-    target = (rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"))
-              .agg(F.max_by(F.struct("bytes", "digest"), "bytes").alias("target")))
+    target = (rows.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("named"), F.col("bytes").alias("of_target"))
+              .distinct())
     revisit = F.col("record_type") == "revisit"
-    joined = rows.filter(revisit).join(target, "refers_to", "left").select(
-        "page_id", F.col("target.bytes").alias("payload_bytes"), F.col("target.digest").alias("payload_digest"), "record_type", "refers_to")
+    joined = rows.filter(revisit).join(target, ["refers_to", "named"], "left").select(
+        "page_id", F.col("of_target").alias("payload_bytes"), F.when(F.col("of_target").isNotNull(), F.col("named")).alias("payload_digest"), "record_type", "refers_to")
     return rows.filter(~revisit).select(
         "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type",
         F.lit(None).cast("long").alias("refers_to")).union(joined)

@@ -98,6 +98,21 @@ def test_warc(spark, compression):
     assert warc.page_records(warc.read_warc(spark, empty)).count() == 0
 
 
+def test_revisits_of_an_id_with_two_payloads(spark):
+    """Page 1 stands twice; the copy of its shorter payload keeps that one's size and digest."""
+    import duckdb
+
+    rows = [(1, "u", "x" * 120), (1, "u", "y" * 300), (2, "u", "x" * 120), (3, "u", "y" * 300)]
+    path = scratch_folder(spark)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(pages, path, "page_id", "url", "html")
+    got = sorted(map(tuple, warc.page_records(warc.read_warc(spark, path)).collect()), key=str)
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas())
+    assert got == sorted(db.execute(warc.OP7_SQL).fetchall(), key=str)
+    assert [r[1:] for r in got if r[0] == 2] == [(120, hashlib.sha256(b"x" * 120).hexdigest(), "revisit", 1)]
+
+
 def test_a_damaged_archive_ends_its_chain(spark, tmp_path):
     record = lambda i, n: f"{warc.MAGIC}WARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\nabc\r\n\r\n"
     (tmp_path / "a.warc").write_bytes((record(1, 3) + record(2, 5) + record(3, 3)).encode())
