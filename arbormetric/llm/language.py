@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arbormetric.llm.tables import small, stored, table
+from arbormetric.llm.tables import byte_runs, fresh, small, stored, table
 from arbormetric.llm.urls import url_parts
 
 BUCKETS = 1 << 15
@@ -24,7 +24,8 @@ SMOOTHING = 10.0
 #: Prior of the hypothesis that a text is in none of the languages.
 UNKNOWN = 0.01
 THRESHOLD = 0.5
-BATCH = 512
+#: Rows and bytes of text that are scored at once.
+BATCH, BATCH_BYTES = 512, 1 << 22
 LETTERS = np.arange(128)
 LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
@@ -91,8 +92,8 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_
 def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            for at, upto in byte_runs(batch.column(0), BATCH_BYTES, BATCH):
+                part = batch.slice(at, upto - at)
                 n, scores = model.scores(part.column(0).to_pylist())
                 width = scores.shape[1]
                 lists = pa.ListArray.from_arrays(np.arange(0, len(scores) * width + 1, max(width, 1), np.int32) if width else np.zeros(len(scores) + 1, np.int32), pa.array(scores.ravel()))
@@ -186,15 +187,15 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, all columns as they are. Rows that repeat
-    an id stay if one of them is accepted."""
+    """The rows of ``docs`` whose language is identified, all columns as they are. Rows are told apart
+    by a hash of id and text: different texts of one id, or of none, are judged by themselves, and
+    rows that repeat both stay if one of them is accepted. A null text is empty."""
     model = fit_text_model(docs)
-    judged = stored(identify_documents(docs, model))
-    gone = judged.groupBy("id").agg(F.bool_or("accepted").alias("some")).filter("not some and id is not null")
-    lost = judged.filter("id is null").agg(F.bool_or("accepted")).first()[0]
-    gone = small(stored(gone.select(F.col("id").alias("__id"))))
-    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    return kept.filter("doc_id is not null") if lost is False else kept
+    (key,) = fresh(docs, "row_key")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    judged = stored(identify_documents(rows.drop("doc_id").withColumnRenamed(key, "doc_id"), model))
+    gone = judged.groupBy(F.col("id").alias(key)).agg(F.bool_or("accepted").alias("some")).filter("not some").select(key)
+    return rows.join(small(stored(gone)), key, "left_anti").select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

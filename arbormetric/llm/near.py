@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arbormetric.llm.components import connected_components
-from arbormetric.llm.tables import small, stored, table
+from arbormetric.llm.tables import byte_runs, fresh, small, stored, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -18,7 +18,8 @@ BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Stands for a null id, and so goes before all others.
 NO_ID = -(2**63)
-BATCH = 512
+#: Rows and bytes of text whose signatures are computed at once.
+BATCH, BATCH_BYTES = 512, 1 << 22
 #: Buckets of up to FEW texts are compared pair by pair, larger ones in cells.
 FEW = 16
 CELL = 512
@@ -112,8 +113,8 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
 
 def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            part = batch.slice(at, BATCH)
+        for at, upto in byte_runs(batch.column(0), BATCH_BYTES, BATCH):
+            part = batch.slice(at, upto - at)
             yield part, part.column(0).to_pylist()
 
 
@@ -289,9 +290,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one document of each class, its first; of rows that repeat its id
     and text one stays. All columns stay as they are."""
-    key = ["__id", "__h1", "__h2"]
+    key = fresh(docs, "own_id", "own_h1", "own_h2")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text, F.length(text))})
+    of_row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text), F.xxhash64(F.lit(7), text, F.length(text)))
+    rows = docs.withColumns(dict(zip(key, of_row, strict=True)))
     classes = stored(near_classes(docs, similarity))
     first = F.struct("id", "h1", "h2") == F.struct(F.col("root").alias("id"), F.col("root_h1").alias("h1"), F.col("root_h2").alias("h2"))
     gone = stored(classes.filter(~first).select("id", "h1", "h2").distinct().toDF(*key))
