@@ -7,6 +7,7 @@ from arbormetric.operators import evaluation as E
 from arbormetric.operators.variants import Variant
 from arbormetric.plans.clustering import compare_targets, compare_tree_distances
 from pyspark.sql import functions as F
+from registry.distances import level_sql
 from registry.tables import (
     brand_classes,
     brand_distances,
@@ -21,6 +22,7 @@ from registry.trees import (
     DISTINCT_SQL,
     NATION_SQL,
     NODE_SQL,
+    ORDER_SQL,
     PAIR_SQL,
     REF_SQL,
 )
@@ -150,6 +152,21 @@ def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
+# Shapes under which equal trees are at 0, so that a structure stands for all orders that have it.
+ORDER_VARIANTS = (Variant("t", False, False, 0.5), Variant("s", True, False, 0.5))
+
+
+def order_sql(variant: Variant, link: str) -> str:
+    """Clustering of the structures of all orders, weighted by their orders, against priorities."""
+    orders = ",\n".join([ORDER_SQL, CANON_SQL, REF_SQL, DISTINCT_SQL])
+    parts = [
+        orders,
+        "classes AS (SELECT ref AS id, class, count(*) AS n FROM refs GROUP BY 1, 2)",
+        f"dist AS MATERIALIZED ({level_sql(variant, orders, 'distinct_trees')})",
+    ]
+    return _with(*parts, hac_sql(link, True), CUT_SQL.format(k_max=K_MAX), AGREE_SQL) + SCORE_END
+
+
 def brand_scores(spark, sf_dir, link="complete"):
     return compare_targets(
         brand_distances(spark, sf_dir), brand_classes(spark, sf_dir), link, K_MAX
@@ -206,9 +223,15 @@ def queries() -> dict:
         "compare_targets": lambda s, d: _rounded(brand_scores(s, d)["scores"], "ari", "nmi"),
         "pivot_by_k": lambda s, d: brand_scores(s, d, "ward")["ari_by_k"],
         "compare_tree_distances": lambda s, d: _rounded(
-            nation_scores(s, d, pftt)["scores"], "ari", "nmi"
+            tree_scores(s, d, ORDER_VARIANTS[0])["scores"], "ari", "nmi"
         ),
         "compare_tree_distances_upgma": lambda s, d: _rounded(
+            tree_scores(s, d, ORDER_VARIANTS[1], link="upgma")["scores"], "ari", "nmi"
+        ),
+        "compare_tree_distances_nations": lambda s, d: _rounded(
+            nation_scores(s, d, pftt)["scores"], "ari", "nmi"
+        ),
+        "compare_tree_distances_upgma_nations": lambda s, d: _rounded(
             nation_scores(s, d, pftt, link="upgma")["scores"], "ari", "nmi"
         ),
         "pivot_nmi_by_k": lambda s, d: brand_scores(s, d)["nmi_by_k"],
@@ -282,11 +305,13 @@ def oracle_sql() -> dict:
             f'max(CASE WHEN k = {k} THEN round(nmi, 2) + 0.0 END) AS "{k}"' for k in range(2, K_MAX + 1)
         )
         + " FROM scores GROUP BY target",
-        "compare_tree_distances": _with(
+        "compare_tree_distances": order_sql(ORDER_VARIANTS[0], "complete"),
+        "compare_tree_distances_upgma": order_sql(ORDER_VARIANTS[1], "upgma"),
+        "compare_tree_distances_nations": _with(
             TREE_SQL, hac_sql("complete", True), CUT_SQL.format(k_max=K_MAX), AGREE_SQL
         )
         + SCORE_END,
-        "compare_tree_distances_upgma": _with(
+        "compare_tree_distances_upgma_nations": _with(
             TREE_SQL, hac_sql("upgma", True), CUT_SQL.format(k_max=K_MAX), AGREE_SQL
         )
         + SCORE_END,
