@@ -61,8 +61,8 @@ def grid_cv(
     )
     item = gram.schema["i"].dataType.simpleString()
     schema = (
-        f"a_ix int, b_ix int, c_ix int, logc double, fold int, j {item}, w double, shift double, "
-        "n long, converged boolean"
+        f"a_ix int, b_ix int, fold int, j {item}, w array<double>, shift array<double>, n long, "
+        "converged array<boolean>"
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,27 +72,33 @@ def grid_cv(
         i, j = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
         kernel, y = np.zeros((len(ids), len(ids))), np.empty(len(ids))
         kernel[i, j], y[i] = pdf["v"], pdf["y_i"]
-        out = []
-        for c_ix, exponent in enumerate(grid):
-            w, shift, converged = fit_margin(kernel, y, 10.0**exponent)
-            converged = converged and len(np.unique(y)) == classes
-            out.append(pd.DataFrame({"c_ix": c_ix, "logc": exponent, "j": ids, "w": w, "shift": shift, "converged": converged}))
-        result = pd.concat(out)
-        result["n"] = len(ids)
+        fits = [fit_margin(kernel, y, 10.0**exponent) for exponent in grid]
+        whole = len(np.unique(y)) == classes
+        result = pd.DataFrame({"j": ids, "w": list(np.array([f[0] for f in fits]).T), "n": len(ids)})
+        result["shift"] = [[f[1] for f in fits]] * len(ids)
+        result["converged"] = [[bool(f[2] and whole) for f in fits]] * len(ids)
         for column in ("a_ix", "b_ix", "fold"):
             result[column] = pdf[column].iloc[0]
-        return result[["a_ix", "b_ix", "c_ix", "logc", "fold", "j", "w", "shift", "n", "converged"]]
+        return result[["a_ix", "b_ix", "fold", "j", "w", "shift", "n", "converged"]]
 
     weights = cells.groupBy("a_ix", "b_ix", "fold").applyInPandas(fit, schema)
     unlabelled = F.raise_error(F.lit("a Gram row has no label")).cast("int")
     held = gram.join(parts.withColumnsRenamed({"id": "i"}), "i", "left").withColumn("fold", F.coalesce("fold", unlabelled))
-    lacking = F.raise_error(F.lit("the Gram table lacks cells")).cast("double")
-    value = F.when(F.count("*") != F.first("n"), lacking).otherwise(F.sum(F.col("w") * F.col("v")) + F.first("shift"))
-    keys = ["a_ix", "b_ix", "c_ix", "alpha", "beta", "logc", F.col("i").alias("id"), "y"]
+    lacking = F.raise_error(F.lit("the Gram table lacks cells")).cast("array<double>")
+    # One join with the Gram table for all penalties, which are columns of the sum.
+    sums = F.array(*[F.sum(F.col("w")[c] * F.col("v")) for c in range(len(grid))])
+    values = F.when(F.count("*") != F.first("n"), lacking).otherwise(
+        F.zip_with(sums, F.first("shift"), lambda total, shift: total + shift)
+    )
     predictions = (
         held.join(weights, ["a_ix", "b_ix", "fold", "j"])
-        .groupBy(*keys)
-        .agg(F.when(value > 0, 1.0).otherwise(-1.0).alias("predicted"), F.first("converged").alias("converged"))
+        .groupBy("a_ix", "b_ix", "alpha", "beta", F.col("i").alias("id"), "y")
+        .agg(values.alias("values"), F.first("converged").alias("converged"))
+        .withColumn("logc", F.array(*[F.lit(x) for x in grid]))
+        .select("a_ix", "b_ix", "alpha", "beta", "id", "y",
+                F.posexplode(F.arrays_zip("values", "converged", "logc")).alias("c_ix", "_at"))
+        .select("a_ix", "b_ix", "c_ix", "alpha", "beta", "_at.logc", "id", "y",
+                F.when(F.col("_at.values") > 0, 1.0).otherwise(-1.0).alias("predicted"), "_at.converged")
     )
     known = gram.filter("i = j").select(F.col("i").alias("id"), F.lit(False).alias("absent")).distinct()
     unknown = F.raise_error(F.lit("a label has no Gram row")).cast("boolean")
