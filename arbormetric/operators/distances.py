@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from arbormetric.functions.mapping_kernel import Side, tile_distances
 from arbormetric.functions.treetext import tree_reference
+from arbormetric.operators.bounded import candidate_pairs, least_weight
 from arbormetric.operators.levels import has_levels, level_distances
 from arbormetric.operators.nodes import canonical_trees, tree_arrays, tree_nodes
 from arbormetric.operators.pairs import BUDGET, pair_tiles
@@ -62,11 +64,36 @@ def edit_distances(
     return tiles.groupBy("bi", "bj").applyInPandas(evaluate, schema)
 
 
+def edit_distances_of(
+    pairs: DataFrame, arrays: DataFrame, key: str, variants: list[Variant]
+) -> DataFrame:
+    """The same for the pairs ``(i, j)`` alone, one after the other."""
+    key_type = arrays.schema[key].dataType.simpleString()
+    left = arrays.select(F.col(key).alias("i"), F.struct("labels", "sizes").alias("x"))
+    right = arrays.select(F.col(key).alias("j"), F.struct("labels", "sizes").alias("y"))
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, j, x, y in batch.itertuples(index=False):
+                codes: dict = {}
+                a = Side([(x["labels"], x["sizes"])], codes)
+                b = Side([(y["labels"], y["sizes"])], codes)
+                for v in variants:
+                    d = tile_distances(a, b, v.shape, v.exact, v.weight)[0, 0]
+                    rows.append((v.target, i, j, round(float(d), 9)))
+            yield pd.DataFrame(rows, columns=["target", "i", "j", "d"])
+
+    met = pairs.join(left, "i").join(right, "j").select("i", "j", "x", "y")
+    return met.mapInPandas(evaluate, f"target string, i {key_type}, j {key_type}, d double")
+
+
 def structure_distances(
     distinct: DataFrame, variants: list[Variant], budget: int = BUDGET, key: str = "ref",
-    costs: DataFrame | None = None,
+    costs: DataFrame | None = None, max_distance: float | None = None,
 ) -> DataFrame:
-    """``(target, i, j, d)`` over distinct structures ``(key, tree)``.
+    """``(target, i, j, d)`` over distinct structures ``(key, tree)``; with ``max_distance`` only the
+    pairs that are as near, found without the others' distances.
 
     The structures are written once; whatever they come from is read once.  ``costs``
     ``(label_a, label_b, cost)`` replaces the weight of the pairs of labels it has (either order);
@@ -78,14 +105,21 @@ def structure_distances(
     if costs is not None and not all(v.exact for v in edits):
         raise ValueError("shapes f and t with gaps take a weight, not a table of costs")
     arrays = cut_lineage(tree_arrays(tree_nodes(distinct.select(key, "tree"), key), key))
+    pairs = None
+    if max_distance is not None:
+        weight = least_weight(variants, costs)
+        pairs = cut_lineage(candidate_pairs(arrays, key, max_distance, weight, budget))
     parts = []
-    if edits:
+    if edits and pairs is None:
         parts.append(edit_distances(arrays, key, edits, budget))
+    elif edits:
+        parts.append(edit_distances_of(pairs, arrays, key, edits))
     if levels:
-        parts.append(level_distances(arrays, key, levels, budget, costs))
+        parts.append(level_distances(arrays, key, levels, budget, costs, pairs=pairs))
     if paths:
-        parts.append(path_distances(arrays, key, paths, budget, costs))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(path_distances(arrays, key, paths, budget, costs, pairs))
+    result = reduce(DataFrame.unionByName, parts)
+    return result if max_distance is None else result.filter(F.col("d") <= max_distance)
 
 
 def self_distances(distinct: DataFrame, variants: list[Variant], key: str = "ref") -> DataFrame:

@@ -104,15 +104,18 @@ def relabel_costs(costs: DataFrame) -> DataFrame:
 
 
 def subtree_pairs(
-    subtrees: DataFrame, models: list[Variant], costs: DataFrame | None, budget: int = BUDGET
+    subtrees: DataFrame, models: list[Variant], costs: DataFrame | None, budget: int = BUDGET,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Every unordered pair of distinct subtrees once per cost model, a subtree with itself too:
+    """Every unordered pair of distinct subtrees once per cost model, a subtree with itself too, or
+    the ``pairs`` ``(i, j)`` of them with i <= j:
     ``(model, u, v, su, sv, hu, hv, ku, kv, gain)``; ``gain`` is that of matching the two roots,
     null where that is forbidden."""
-    ids = subtrees.select("id")
-    pairs = all_pairs(ids, "id", budget).unionByName(
-        ids.select(F.col("id").alias("i"), F.col("id").alias("j"))
-    )
+    if pairs is None:
+        ids = subtrees.select("id")
+        pairs = all_pairs(ids, "id", budget).unionByName(
+            ids.select(F.col("id").alias("i"), F.col("id").alias("j"))
+        )
 
     def side(end: str, name: str) -> DataFrame:
         return subtrees.select(
@@ -271,7 +274,9 @@ def _best_pairs(gains: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _piece_gains(gains: DataFrame, nodes: DataFrame, trees: DataFrame, key: str) -> DataFrame:
+def _piece_gains(
+    gains: DataFrame, nodes: DataFrame, trees: DataFrame, key: str, wanted: DataFrame
+) -> DataFrame:
     """``(model, i, j, g)`` with i < j: the best sequence of matched subtrees, each behind the one
     before it and outside of it on both sides, where one gains.
 
@@ -286,8 +291,8 @@ def _piece_gains(gains: DataFrame, nodes: DataFrame, trees: DataFrame, key: str)
     rows = rows.join(ends, "j").select("model", "u", "j", dense.alias("row"))
     left = nodes.select(F.col(key).alias("i"), F.col("id").alias("u"), F.col("pos").alias("p"))
     pairs = (
-        rows.join(left, "u").filter("i < j").groupBy("model", "i", "j")
-        .agg(F.collect_list(F.struct("p", "row")).alias("rows"))
+        rows.join(left, "u").filter("i < j").join(wanted, ["i", "j"], "left_semi")
+        .groupBy("model", "i", "j").agg(F.collect_list(F.struct("p", "row")).alias("rows"))
         .join(trees.select(F.col(key).alias("i"), F.col("sizes").alias("si")), "i")
         .join(ends, "j")
     )
@@ -314,9 +319,10 @@ def _piece_gains(gains: DataFrame, nodes: DataFrame, trees: DataFrame, key: str)
 
 def level_distances(
     arrays: DataFrame, key: str, variants: list[Variant], budget: int = BUDGET,
-    costs: DataFrame | None = None, null_no_agreement: bool = False,
+    costs: DataFrame | None = None, null_no_agreement: bool = False, pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """``(target, i, j, d)`` with i < j for the trees of ``(key, size, labels, sizes)``.
+    """``(target, i, j, d)`` with i < j for the trees of ``(key, size, labels, sizes)``, or only for
+    ``pairs`` ``(i, j)`` of them; then the table of gains has the pairs of their subtrees alone.
 
     ``costs`` ``(label_a, label_b, cost)`` replaces the weight of the pairs of labels it has; exact
     variants forbid all of them.  Under exact agreement trees without a common label are at
@@ -325,7 +331,15 @@ def level_distances(
     nodes = cut_lineage(tree_subtrees(arrays, key))
     subtrees = cut_lineage(nodes.select("id", "label", "size", "height", "kids").dropDuplicates(["id"]))
     trees = arrays.select(key, "size", "sizes")
-    tree_pairs = cut_lineage(all_pairs(trees.select(key), key, budget))
+    within = None
+    if pairs is None:
+        tree_pairs = cut_lineage(all_pairs(trees.select(key), key, budget))
+    else:
+        tree_pairs = cut_lineage(pairs.select("i", "j"))
+        members = nodes.select(key, "id").distinct()
+        met = tree_pairs.join(members.toDF("i", "u"), "i").join(members.toDF("j", "v"), "j")
+        within = met.select(F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j")).distinct()
+    wanted_pairs = tree_pairs
     sizes = trees.select(key, "size")
     tree_pairs = tree_pairs.join(sizes.toDF("i", "si"), "i").join(sizes.toDF("j", "sj"), "j")
     parts = []
@@ -334,10 +348,10 @@ def level_distances(
         if not own:
             continue
         models = list({_model(v): v for v in own}.values())
-        gains = subtree_gains(subtree_pairs(subtrees, models, costs, budget), kind)
+        gains = subtree_gains(subtree_pairs(subtrees, models, costs, budget, within), kind)
         for shape in dict.fromkeys(v.shape for v in own):
             if shape == "f":
-                found = _piece_gains(gains, nodes, trees, key)
+                found = _piece_gains(gains, nodes, trees, key, wanted_pairs)
             elif shape == "t":
                 found = _best_pairs(gains, nodes, key)
             else:

@@ -104,9 +104,10 @@ def _gain(p: Column, q: Column, variant: Variant, relabel: Column | None = None)
 
 def path_distances(
     arrays: DataFrame, key: str, variants: list[Variant], budget: int = BUDGET,
-    costs: DataFrame | None = None,
+    costs: DataFrame | None = None, pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """``(target, i, j, d)`` with i < j for the trees of ``(key, size, labels, sizes)``.
+    """``(target, i, j, d)`` with i < j for the trees of ``(key, size, labels, sizes)``, or only for
+    ``pairs`` ``(i, j)`` of them; then only the paths of such pairs are scored.
 
     ``costs`` ``(label_a, label_b, cost)`` replaces the weight of the pairs of labels it has.
     """
@@ -116,7 +117,11 @@ def path_distances(
     distinct = ways.select("pid", "path").distinct()
     if costs is not None:
         distinct = _with_costs(distinct, costs)
-    scored = _path_pairs(distinct, budget)
+    if pairs is None:
+        scored = _path_pairs(distinct, budget)
+    else:
+        pairs = cut_lineage(pairs.select("i", "j"))
+        scored = _paths_of(pairs, ways.select(key, "pid"), distinct)
     relabel = F.col("relabel") if costs is not None else None
     gains = F.array(
         *[
@@ -139,10 +144,11 @@ def path_distances(
     left = ways.select(F.col(key).alias("i"), F.col("size").alias("si"), "pid")
     right = ways.select(F.col(key).alias("j"), F.col("size").alias("sj"), F.col("pid").alias("qid"))
     half = gains.join(left, "pid").groupBy("target", "i", "si", "qid").agg(F.max("g").alias("g"))
+    met = half.join(right, "qid").filter("i < j")
+    if pairs is not None:
+        met = met.join(pairs, ["i", "j"], "left_semi")
     return (
-        half.join(right, "qid")
-        .filter("i < j")
-        .groupBy("target", "i", "j", "si", "sj")
+        met.groupBy("target", "i", "j", "si", "sj")
         .agg(F.max("g").alias("g"))
         .select(
             "target", "i", "j", F.round(F.col("si") + F.col("sj") - F.col("g"), 9).alias("d")
@@ -150,6 +156,16 @@ def path_distances(
     )
 
 
+def _paths_of(pairs: DataFrame, ways: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The unordered pairs of paths ``(pid, p, qid, q)`` of the pairs of trees."""
+    met = pairs.join(ways.toDF("i", "x"), "i").join(ways.toDF("j", "y"), "j")
+    met = met.select(F.least("x", "y").alias("pid"), F.greatest("x", "y").alias("qid")).distinct()
+    more = [c for c in distinct.columns if c not in ("pid", "path")]
+    left = distinct.select("pid", F.col("path").alias("p"), *more)
+    right = distinct.select(F.col("pid").alias("qid"), F.col("path").alias("q"))
+    return met.join(left, "pid").join(right, "qid")
+
+
 def _with_costs(distinct: DataFrame, costs: DataFrame) -> DataFrame:
     """Paths with the costs of relabelling their own labels, a map by pair of labels."""
     half = relabel_costs(costs).toDF("a", "b", "cost")

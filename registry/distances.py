@@ -19,12 +19,17 @@ from registry.trees import (
     NODE_SQL,
     ORDER_SQL,
     REF_SQL,
+    order_structures,
+    path_sql,
     structure_query,
 )
 
 WEIGHT = 0.5
 LEVELED = [v for v in all_variants(WEIGHT) if v.target in (
     "fftf50", "fftt", "tftf50", "tftt", "sttf50", "sttt", "attf50", "attt")]
+# Pairs within this distance, without the full matrix.
+NEAR = [Variant("s", True, False, 1.0), Variant("t", False, True), Variant("p", False, True)]
+NEAR_LIMIT = 2
 # Trees of both sources have a root, its children and theirs.
 HEIGHT = 2
 
@@ -205,6 +210,10 @@ def queries() -> dict:
         "cost_distances_levels": _nations(COST_LEVELS, label_costs),
         "cost_distances_paths": _nations(COST_PATHS, label_costs),
     }
+    for v in NEAR:
+        result[f"near_structures_{v.target}"] = lambda s, d, v=v: D.structure_distances(
+            order_structures(s, d), [v], max_distance=NEAR_LIMIT
+        )
     for v in all_variants(WEIGHT):
         if v.shape != "p":
             result[f"distance_{v.target}"] = structure_query(v)
@@ -218,6 +227,9 @@ def oracle_sql() -> dict:
         "cost_distances_levels": _union(level_sql(v, NATION_SQL, "trees", COST_SQL) for v in COST_LEVELS),
         "cost_distances_paths": _union(cost_path_sql(v, NATION_SQL, "trees", COST_SQL) for v in COST_PATHS),
     }
+    for v in NEAR:
+        whole = path_sql(v, orders) if v.shape == "p" else level_sql(v, orders, "distinct_trees")
+        result[f"near_structures_{v.target}"] = f"SELECT * FROM ({whole}) WHERE d <= {NEAR_LIMIT}"
     for v in LEVELED:
         result[f"distance_{v.target}"] = level_sql(v, orders, "distinct_trees")
     return result

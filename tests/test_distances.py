@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from arbormetric.operators.bounded import candidate_pairs
 from arbormetric.operators.distances import structure_distances, tree_distances
 from arbormetric.operators.levels import level_distances, relabel_costs, tree_subtrees
 from arbormetric.operators.nodes import structures, tree_arrays, tree_nodes
@@ -89,6 +90,33 @@ def test_costs_given_twice_alike(spark):
     assert [tuple(r) for r in relabel_costs(costs).collect()] == [("a", "b", 0.5)]
 
 
+def test_near_structures(spark):
+    """The rows of the full matrix up to the limit, from a part of its pairs."""
+    rng = random.Random(9)
+    texts = sorted({random_tree(rng, rng.randrange(1, 7)).replace("a", rng.choice("axyz")) for _ in range(16)})
+    variants = [Variant("s", weight=0.5), Variant("t", False, weight=1.5), Variant("f", False, True), Variant("f"), Variant("p", weight=0.5)]
+    trees = table(spark, texts)
+    costs = spark.createDataFrame([("a", "b", 0.75), ("x", "z", 1.25)], "label_a string, label_b string, cost double")
+    for own, given, limits in ((variants, None, (0, 2.5)), ([Variant("s"), Variant("p", False)], costs, (1.5,))):
+        whole = matrix(structure_distances(trees, own, key="tree_id", costs=given))
+        for limit in limits:
+            near = matrix(structure_distances(trees, own, key="tree_id", costs=given, max_distance=limit))
+            assert near == {k: d for k, d in whole.items() if d <= limit}
+
+
+def test_candidates_are_few(spark):
+    """Trees of own labels only meet their copies with a change, and bounds hold for every weight."""
+    texts = [f"r{n}(s{n},t{n}(u{n}))" for n in range(40)] + [f"r{n}(s{n},t{n})" for n in range(40)]
+    arrays = tree_arrays(tree_nodes(table(spark, texts)))
+    for weight in (0.5, 1.0, 2.0):
+        pairs = {(r.i, r.j) for r in candidate_pairs(arrays, "tree_id", 1.0, weight).collect()}
+        assert pairs == {(n, n + 40) for n in range(40)}
+    every = candidate_pairs(arrays, "tree_id", 1.0, 0.0).count()
+    assert every == 80 * 79 // 2
+    assert candidate_pairs(arrays, "tree_id", 7.0, 1.0).count() == 80 * 79 // 2
+    assert candidate_pairs(arrays.limit(0), "tree_id", 1.0, 1.0).count() == 0
+
+
 def test_subtrees(spark):
     arrays = tree_arrays(tree_nodes(table(spark, ["a(b(c),b(c))", "b(c)"])))
     rows = tree_subtrees(arrays, "tree_id").collect()
