@@ -25,7 +25,7 @@ SMOOTHING = 10.0
 UNKNOWN = 0.01
 THRESHOLD = 0.5
 #: Rows and bytes of text that are scored at once.
-BATCH, BATCH_BYTES = 512, 1 << 22
+BATCH, BATCH_BYTES = 512, 1 << 20
 LETTERS = np.arange(128)
 LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 

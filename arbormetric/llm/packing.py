@@ -21,12 +21,14 @@ CAPACITY = 2048
 OPEN_BINS = 256
 SHARD_ROWS = 8192
 #: Bytes of text that a task encodes at once; a longer text is encoded alone.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
+#: Distinct words that are Python strings at a time.
+WORDS = 1 << 14
 MARK = "\x01"
 #: Letters of ASCII and Latin-1 with common signs behind them; their lower and composed forms are plain.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Pre-tokens whose ids a worker keeps before it starts afresh, some 100 bytes each.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 SIGNS = byte_signs()
 
 
@@ -56,8 +58,8 @@ class WordIds:
             own = self.kept[token] = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
         return own
 
-    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the words, and where those of each begin and how many they are."""
+    def _of_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """All ids of the words, and how many those of each are."""
         if len(self.kept) > REMEMBERED:
             self.kept = {"": b""}
         plain = map(PLAIN.fullmatch, words)
@@ -75,8 +77,7 @@ class WordIds:
         for n in others:
             if found[n] is None:
                 found[n] = self._ids(words[n]).tobytes()
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes
+        return b"".join(found), np.fromiter(map(len, found), np.int32, len(found)) // 4
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         # Blanks, tabs and line ends of ASCII are white space to the vocabulary; other kinds stay
@@ -84,12 +85,18 @@ class WordIds:
         words = pc.ascii_split_whitespace(texts)
         counts = pc.list_value_length(words).to_numpy()
         coded = words.flatten().dictionary_encode()
-        ids, starts, sizes = self._of_words(coded.dictionary.to_pylist())
+        del words
+        distinct = coded.dictionary
+        parts = [self._of_words(distinct[at : at + WORDS].to_pylist()) for at in range(0, len(distinct), WORDS)]
+        ids = np.frombuffer(b"".join([ids for ids, _ in parts]), "<u4")
+        sizes = np.concatenate([np.empty(0, np.int32), *[n for _, n in parts]])
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         at = coded.indices.to_numpy()
         own = sizes[at]
         ends = np.concatenate([[0], np.cumsum(own)])
-        flat = ids[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])]
-        return np.split(flat, ends[np.cumsum(counts)[:-1]]) if len(texts) else []
+        place = np.repeat(starts[at] - ends[:-1].astype(np.int32), own)
+        place += np.arange(len(place), dtype=np.int32)
+        return np.split(ids[place], ends[np.cumsum(counts)[:-1]]) if len(texts) else []
 
 
 @functools.lru_cache(1)
