@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arbormetric.llm.tables import discard, small, stored, table
+from arbormetric.llm.tables import discard, fresh, small, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that a failing start is given up at once: runs are taken
@@ -19,12 +19,16 @@ BASE = {
 LOOSE = {
     "at": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]++)*+",
     "number": r"(?<![0-9A-Za-z])[0-9(](?:[ ().,:/-]{0,2}[0-9]){6,}+",
+    "quad": r"(?<![0-9A-Za-z])[0-9]{1,3}+(?:[.,:/-][0-9]{1,3}+){3}(?![0-9])",
 }
 GUARD = {"email": "@", "phone": "+"}
-CONTEXT = 24
-ROUNDS = 4
+#: Letters of a word beyond which its hash stands for it, and the rise below which scores are settled.
+LONG_WORD = 64
+SETTLED = 1e-3
 CONFIDENCE = 0.8
 SUPPORT = 5
+#: The word beside a span with the signs between, seen from the span.
+BESIDE = r"^([^\\p{L}]{0,3}\\p{L}++)"
 SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 
 
@@ -38,7 +42,8 @@ def _found(name: str) -> str:
         'at', s.at + length(g_{name}[i - 1]) + length(m_{name}[i - 1]),
         'out', concat(s.out, array(named_struct(
           'start', s.at + length(g_{name}[i - 1]), 'end', s.at + length(g_{name}[i - 1]) + length(m_{name}[i - 1]),
-          'value', m_{name}[i - 1], 'before', right(g_{name}[i - 1], {CONTEXT}), 'after', left(g_{name}[i], {CONTEXT}))))),
+          'value', m_{name}[i - 1], 'before', reverse(regexp_extract(reverse(g_{name}[i - 1]), '{BESIDE}', 1)),
+          'after', regexp_extract(g_{name}[i], '{BESIDE}', 1))))),
       s -> s.out) ELSE CAST(array() AS array<{SPAN}>) END"""
 
 
@@ -95,7 +100,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def sound(kind: str) -> Column:
         return tagged(F.filter(kind, lambda s: _valid(kind, s.value)), lambda v: F.lit(kind))
 
-    rows = rows.select("id", "h", F.concat(*map(sound, KINDS)).alias("base"), F.concat(*(tagged(F.col(k), _loose_kind) for k in LOOSE)).alias("loose"))
+    loose = [F.col("at"), F.col("number"), F.filter("quad", lambda s: ~_overlaps(F.col("number"), s.start, s.end))]
+    rows = rows.select("id", "h", F.concat(*map(sound, KINDS)).alias("base"), F.concat(*(tagged(spans, _loose_kind) for spans in loose)).alias("loose"))
     return rows.withColumn("loose", F.filter("loose", lambda s: ~_overlaps(F.col("base"), s.start, s.end)))
 
 
@@ -103,36 +109,53 @@ def _contexts(rows: DataFrame, spans: str, seed: bool) -> DataFrame:
     """One row per span and lexical pattern: the word before it, with the signs between, and the
     word after it."""
     each = rows.filter(F.size(spans) > 0).select("id", "h", F.explode(spans).alias("s")).select("id", "h", "s.*")
-    before = F.regexp_extract(F.lower("before"), r"(\p{L}+[^\p{L}]{0,3})$", 1)
-    after = F.regexp_extract(F.lower("after"), r"^([^\p{L}]{0,3}\p{L}+)", 1)
-    sides = F.array(F.concat(F.lit("<"), F.trim(before)), F.concat(F.lit(">"), F.trim(after)))
+    word = lambda c: F.when(F.length(c) > LONG_WORD, F.sha2(F.lower(c), 256)).otherwise(F.trim(F.lower(c)))
+    sides = F.array(F.concat(F.lit("<"), word("before")), F.concat(F.lit(">"), word("after")))
     return each.select("id", "h", "kind", "start", "end", F.xxhash64("kind", "value").alias("instance"), F.lit(seed).alias("seed"),
                        F.explode(F.filter(sides, lambda p: F.length(p) > 1)).alias("pattern"))
 
 
-def confident_patterns(graph: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """``pattern, kind``: patterns that single out a kind, from ``graph(pattern, instance, kind,
-    seed)``, distinct edges between patterns and instances.
-
-    A pattern's score for a kind is the mean score of all its instances, those of other kinds
-    counting nothing; a seed scores 1 and any other instance the mean of its patterns' scores. After
-    ``rounds`` rounds the patterns of at least ``support`` seeds and a score of ``confidence`` stay.
-    """
+def _pattern_scores(graph: DataFrame, settled: float) -> DataFrame:
+    """``pattern, kind, seeds, score`` once no score rises by ``settled`` any more. Scores start from the
+    seeds alone and only rise, so that this ends."""
     of = graph.groupBy("pattern").agg(F.count("*").alias("of"))
     # Only instances that are not seeds change; what the seeds give a pattern is summed up once.
-    fixed = stored(graph.groupBy("pattern", "kind").agg(F.sum(F.col("seed").cast("double")).alias("seeds"), F.sum((~F.col("seed")).cast("int")).alias("open"))
-                   .join(of, "pattern"))
+    fixed = stored(graph.groupBy("pattern", "kind").agg(F.sum(F.col("seed").cast("double")).alias("seeds")).join(of, "pattern"))
     loose = stored(graph.filter(~F.col("seed")).select("pattern", "instance", "kind"))
-    scores = stored(fixed.select("pattern", "kind", (F.col("seeds") / F.col("of")).alias("score")))
-    for _ in range(rounds):
+    scores = stored(fixed.select("pattern", "kind", "seeds", (F.col("seeds") / F.col("of")).alias("score"), F.lit(1.0).alias("rise")))
+    while scores.filter(F.col("rise") > settled).limit(1).count():
+        known = scores.select("pattern", "kind", F.col("score").alias("old"))
         instances = loose.join(scores, ["pattern", "kind"]).groupBy("instance").agg(F.avg("score").alias("of_instance"))
         given = loose.join(instances, "instance").groupBy("pattern", "kind").agg(F.sum("of_instance").alias("given"))
-        newer = stored(fixed.join(given, ["pattern", "kind"], "left")
-                       .select("pattern", "kind", ((F.col("seeds") + F.coalesce("given", F.lit(0.0))) / F.col("of")).alias("score")))
+        score = (F.col("seeds") + F.coalesce("given", F.lit(0.0))) / F.col("of")
+        newer = stored(fixed.join(given, ["pattern", "kind"], "left").join(known, ["pattern", "kind"])
+                       .select("pattern", "kind", "seeds", score.alias("score"), (score - F.col("old")).alias("rise")))
         discard(scores)
         scores = newer
-    chosen = fixed.filter((F.col("seeds") >= support) & (F.col("open") > 0)).join(scores.filter(F.col("score") >= confidence), ["pattern", "kind"])
-    return chosen.select("pattern", "kind")
+    return scores.select("pattern", "kind", "seeds", "score")
+
+
+def confident_patterns(graph: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, settled: float = SETTLED) -> DataFrame:
+    """``pattern, kind``: patterns that single out a kind, from ``graph(pattern, instance, kind,
+    seed)``, distinct edges between patterns and instances.
+
+    A pattern's score for a kind is the mean score of all its instances, those of other kinds
+    counting nothing; a seed scores 1 and any other instance the mean of its patterns' scores,
+    until the scores are settled. Patterns of at least ``support`` seeds and a score of ``confidence``
+    are taken, what they hold becomes seeds, and so on until no pattern is added.
+    """
+    graph, taken = stored(graph), -1
+    while True:
+        chosen = stored(_pattern_scores(graph, settled).filter((F.col("seeds") >= support) & (F.col("score") >= confidence)).select("pattern", "kind"))
+        before, taken = taken, chosen.count()
+        if taken == before:
+            return chosen
+        promoted = graph.filter(~F.col("seed")).join(chosen, ["pattern", "kind"], "left_semi").select("instance", F.lit(True).alias("new")).distinct()
+        if not promoted.limit(1).count():
+            return chosen
+        newer = stored(graph.join(promoted, "instance", "left").select("pattern", "instance", "kind", (F.col("seed") | F.coalesce("new", F.lit(False))).alias("seed")))
+        discard(graph)
+        graph = newer
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -148,7 +171,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     loose = stored(_contexts(rows, "loose", False))
     edges = ["pattern", "instance", "kind", "seed"]
     graph = stored(loose.select(*edges).union(_contexts(rows, "base", True).select(*edges)).distinct())
-    patterns = stored(confident_patterns(graph))
+    patterns = stored(confident_patterns(graph).join(loose.select("pattern", "kind").distinct(), ["pattern", "kind"], "left_semi"))
     place = F.struct("kind", "start", "end")
     found = (loose.join(small(patterns), ["pattern", "kind"]).groupBy("id", "h").agg(F.collect_set(place).alias("found")))
     found = small(stored(found))
@@ -171,19 +194,20 @@ def masked(docs: DataFrame) -> DataFrame:
     replaced, and what another has behind it goes with it. Other columns, and texts without spans,
     stay as they are."""
     found = find_personal_data(docs.select(F.col("doc_id").alias("id"), "text"))
-    found = stored(found.filter(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).distinct())
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.withColumn("__own", own).join(small(found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")), "left")
-    text = F.expr("""
+    own, key, h, spans, masked_text = fresh(docs, "own_hash", "of_id", "of_hash", "found_spans", "masked_text")
+    found = stored(found.filter(F.size("spans") > 0).select(F.col("id").alias(key), F.col("h").alias(h), F.col("spans").alias(spans)).distinct())
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(small(found), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(h)), "left")
+    text = F.expr(f"""
       concat_ws('', aggregate(
-        array_sort(transform(__spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),
+        array_sort(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),
         named_struct('at', 0, 'out', CAST(array() AS array<string>)),
         (a, s) -> named_struct(
           'at', greatest(a.at, s.end),
           'out', CASE WHEN s.start >= a.at THEN concat(a.out, array(substring(text, a.at + 1, s.start - a.at), concat('[', upper(s.kind), ']'))) ELSE a.out END),
         a -> concat(a.out, array(substring(text, a.at + 1)))))""")
-    rows = rows.withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text))
-    changed = {"text": F.col("__text"), "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))}
+    rows = rows.withColumn(masked_text, F.when(F.col(spans).isNull(), F.col("text")).otherwise(text))
+    changed = {"text": F.col(masked_text), "n_chars": F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(masked_text).cast("long"))}
     return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from arbormetric.llm import language
+from arbormetric.llm.language import accepted_documents
 from arbormetric.llm.pii import BASE, KINDS, _valid, confident_patterns, find_personal_data, masked
 
 #: The patterns as the contract gives them.
@@ -65,12 +66,43 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(not v for k, v in found.items() if k not in (12, 22))
 
 
+def test_two_generations(spark):
+    """Numbers beside fixed-pattern phones are found first; the word beside those then finds more."""
+    texts = [f"call phone: +1 (988) 555-24{i:02d} now" for i in range(12)]
+    texts += [f"call phone: 0988 555 24{i:02d}, answered" for i in range(30, 40)]
+    texts += ["the line 0988 555 2499, answered later", "order 0988 555 2498 went out"]
+    texts += [f"from host 10.0.0.{i} up" for i in range(8)] + ["from host 10,0,0,99 up"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r.id: {(s.kind, texts[r.id][s.start:s.end]) for s in r.spans} - {(s.kind, texts[r.id][s.start:s.end]) for s in r.base}
+             for r in find_personal_data(rows).collect()}
+    assert all(found[i] == {("phone", f"0988 555 24{i + 18:02d}")} for i in range(12, 22))
+    assert found[22] == {("phone", "0988 555 2499")} and not found[23]
+    assert found[32] == {("ip", "10,0,0,99")}
+
+
+def test_long_context_words_count_whole(spark):
+    stem = "w" * 40
+    texts = [f"{stem}a: +1 (988) 555-24{i:02d} x" for i in range(9)] + [f"{stem}a: 0988 555 2499 y", f"{stem}b: 0988 555 2498 z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    more = {r.id: len(r.spans) - len(r.base) for r in find_personal_data(rows).collect()}
+    assert more[9] == 1 and more[10] == 0
+
+
 def test_pattern_scores(spark):
     edges = [("p", i, "ip", True) for i in range(6)] + [("p", 100, "ip", False), ("q", 100, "ip", False), ("q", 7, "card", True)]
     got = confident_patterns(spark.createDataFrame(edges, "pattern string, instance long, kind string, seed boolean")).collect()
     assert [tuple(r) for r in got] == [("p", "ip")]
 
 
+def test_language_stage_judges_texts_of_one_id_apart(spark):
+    good, bad = "the house and the water over the hill with the old tree " * 8, "zqx wvk " * 3
+    rows = [(i, good, "en", "s", 1) for i in range(12)] + [(None, good, "en", "s", 1), (None, "жизнь и вода " * 40, None, None, 1), (3, "жизнь и вода " * 40, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row_key", F.lit(bad))
+    kept = accepted_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text[:3]) for r in kept.collect()) == sorted([(str(i), "the") for i in range(12)] + [("None", "the")])
+
+
 def test_masked(spark):
     rows = [(1, "é mail a@b.cd and 1.2.3.4.", "en", "s", 26), (None, "x a@b.cd", "en", "s", 8), (3, None, "en", "s", 0), (4, "plain", "en", "s", 99), (1, "é mail a@b.cd and 1.2.3.4.", "en", "s", 26)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(5)).withColumn("spans", F.lit("x"))
