@@ -19,10 +19,12 @@ REGISTERS = BANDS * ROWS
 #: Stands for a null id, and so goes before all others.
 NO_ID = -(2**63)
 #: Rows and bytes of text whose signatures are computed at once.
-BATCH, BATCH_BYTES = 512, 1 << 22
+BATCH, BATCH_BYTES = 512, 1 << 20
 #: Buckets of up to FEW texts are compared pair by pair, larger ones in cells.
 FEW = 16
 CELL = 512
+#: By how much a cell's overlap may fall short before its pair is dropped; rounding only.
+SLACK = 1e-6
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -178,10 +180,11 @@ def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
     return _overlaps(pairs.join(first, "a").join(second, "b")).filter(F.col("similarity") >= similarity)
 
 
-def _across(rows: DataFrame, nodes: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+def _across(rows: DataFrame, nodes: DataFrame, placed: DataFrame, similarity: float, only: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` of different roots in large buckets that look similar enough by their
-    shingles' lower 32 bits, which may raise an overlap but never lower it; of the partners of a
-    text one for each root and cell is given, since one link joins the classes.
+    shingles' lower 32 bits, which may raise an overlap but never lower it (values that a text holds
+    several times count as often); of the partners of a text one for each root and cell is given,
+    since one link joins the classes. With ``only(id)`` the partners of these texts are all given.
 
     A bucket's texts outside its main root meet all of its texts in cells of about CELL by CELL, so
     what a task holds is bounded, and only what is found leaves a cell.
@@ -193,10 +196,13 @@ def _across(rows: DataFrame, nodes: DataFrame, placed: DataFrame, similarity: fl
     heights, columns = F.ceil((F.col("of") - F.col("most")) / CELL).cast("int"), F.ceil(F.col("of") / CELL).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    minor = placed.filter("root <> main").select("key", part(heights).alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), "id", "root")
+    minor = placed.filter("root <> main")
+    minor = (minor if only is None else minor.join(only, "id", "left_semi")).select("key", part(heights).alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), "id", "root")
     whole = placed.select("key", every(heights).alias("i"), part(columns).alias("j"), F.lit(1).alias("side"), "id", "root")
     cells = minor.union(whole).join(short, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
+    whole_lists, slack = only is not None, SLACK
+
     def compare(cell: pd.DataFrame) -> list[tuple[int, int]]:
         bags = [np.frombuffer(b, np.uint32) for b in cell["bag"]]
         sizes = np.fromiter(map(len, bags), np.int64, len(bags))
@@ -210,12 +216,14 @@ def _across(rows: DataFrame, nodes: DataFrame, placed: DataFrame, similarity: fl
         for low in range(0, int(shared.sum()), 4096):  # So many columns of the matrix at once.
             matrix = np.zeros((len(bags), 4096), np.float32)
             now = keep & (column[at] >= low) & (column[at] < low + 4096)
-            matrix[own[now], column[at[now]] - low] = 1
+            np.add.at(matrix, (own[now], column[at[now]] - low), 1)
             overlap += matrix[:first] @ matrix[first:].T
         root = cell["root"].to_numpy()
         total = sizes[:first, None] + sizes[None, first:] - overlap
-        x, y = np.nonzero((overlap >= similarity * total * (1 - 1e-6)) & (root[:first, None] != root[None, first:]))
+        x, y = np.nonzero((overlap >= similarity * total * (1 - slack)) & (root[:first, None] != root[None, first:]))
         ids = cell["id"].to_numpy()
+        if whole_lists:
+            return [(min(ids[i], ids[first + j]), max(ids[i], ids[first + j])) for i, j in zip(x, y, strict=True)]
         found = {(ids[i], root[first + j]): ids[first + j] for i, j in zip(x, y, strict=True)}
         return [(min(a, b), max(a, b)) for (a, _), b in found.items()]
 
@@ -244,7 +252,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signature's bands. Equal texts stand for one another. Within a band's bucket every text is
     first compared with the smallest only, which joins most of a large group in as many comparisons
     as it has texts; then all candidates that are still in different classes are compared, pair by
-    pair in small buckets and in cells of large ones, so no link is lost. A null text is empty, texts
+    pair in small buckets and in cells of large ones, where a partner stands for its class and all are
+    compared if it fails the exact check, so no link is lost. A null text is empty, texts
     without words only equal themselves, a null id counts as the smallest, and rows are one document
     only if they repeat both id and text: different texts of one id, null ids among them, are
     documents of their own.
@@ -268,7 +277,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("of"),
                                       F.max("c").alias("most")).filter("roots > 1")
     placed = stored(placed.join(mixed.select("key", "main", "of", "most"), "key"))
-    found = _across(rows, nodes, placed.filter(F.col("of") > FEW), similarity)
+    found = stored(_across(rows, nodes, placed.filter(F.col("of") > FEW), similarity))
     few = placed.filter(F.col("of") <= FEW)
     minor = few.filter("root <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     rest = (minor.join(few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key")
@@ -277,6 +286,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         more = stored(verified(rows, nodes, rest, similarity))
+        # Where the partner that stood for a class is none, all of the text's partners are compared.
+        failed = stored(found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        if failed.limit(1).count():
+            again = _across(rows, nodes, placed.filter(F.col("of") > FEW), similarity, failed).distinct()
+            again = stored(again.join(rest.union(stars), ["a", "b"], "left_anti"))
+            more = stored(more.union(verified(rows, nodes, again, similarity)))
         if more.limit(1).count():
             roots = connected_components(links.union(more))
     joined = nodes.select("node", "id", "h1", "h2").join(roots.toDF("node", "root"), "node")
