@@ -9,9 +9,23 @@ from pyspark.sql import functions as F
 from registry.tables import part_polynomials, segment_labels, segment_terms, table
 
 A, B, C = K.Range(0.0, 1.0, 4), K.Range(0.0, 1.0, 4), K.Range(-3.0, 3.0, 4)
-MONOMIAL = r"(?:x(?:\^\d+)?(?:\*?y(?:\^\d+)?)?|y(?:\^\d+)?(?:\*?x(?:\^\d+)?)?)"
-TERM = r"(?:\d+\.?\d*(?:\*?" + MONOMIAL + ")?|" + MONOMIAL + ")"
-VALID = "^[+-]?" + TERM + "(?:[+-]" + TERM + ")*$"
+
+
+def valid_sql(column: str) -> str:
+    """Whether a text is a polynomial, by taking its terms apart: what is left of a term without its
+    number, a star behind that and its exponents has to be one of a few products."""
+    terms = f"regexp_extract_all({column}, '[+-]?[^+-]+')"
+    bare = "ltrim(t, '+-')"
+    number = f"regexp_extract({bare}, '^[0-9]+[.]?[0-9]*')"
+    rest = f"substr({bare}, len({number}) + 1)"
+    star = f"({number} <> '' AND starts_with({rest}, '*'))"
+    product = f"regexp_replace(CASE WHEN {star} THEN substr({rest}, 2) ELSE {rest} END, '([xy])\\^[0-9]+', '\\1', 'g')"
+    fits = f"""(CASE WHEN {product} = '' THEN {number} <> '' AND NOT {star}
+      ELSE {product} IN ('x', 'y', 'xy', 'yx', 'x*y', 'y*x') END)"""
+    return f"""({column} <> '' AND array_to_string({terms}, '') = {column}
+    AND list_bool_and(list_transform({terms}, lambda t: {fits})))"""
+
+
 TEXT_SQL = """texts AS (
   SELECT p_partkey AS id,
          p_size || '*x^2*y-' || (p_size % 7) || 'y^' || (p_partkey % 3 + 1) || 'x+y-2.5*y+3'
@@ -31,7 +45,7 @@ def terms_sql(column: str, name: str) -> str:
     number = "regexp_extract(t, '^[+-]?(\\d+\\.?\\d*)', 1)"
     return f"""{name}_raw AS (
   SELECT id, unnest(regexp_extract_all({column}, '[+-]?[^+-]+')) AS t FROM texts
-  WHERE regexp_matches({column}, '{VALID}')),
+  WHERE {valid_sql(column)}),
 {name}_all AS (
   SELECT id, {exponent("x")} AS ex, {exponent("y")} AS ey,
          CASE WHEN starts_with(t, '-') THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END
@@ -191,7 +205,7 @@ def oracle_sql() -> dict:
     combined = reduced_sql("(SELECT * FROM tp UNION ALL SELECT * FROM tq)", "r")
     return {
         "poly_terms": w + BOTH_SQL + " SELECT * FROM tp",
-        "poly_rejects": w + TEXT_SQL + f" SELECT * FROM texts WHERE NOT regexp_matches(p, '{VALID}')",
+        "poly_rejects": w + TEXT_SQL + f" SELECT * FROM texts WHERE NOT {valid_sql('p')}",
         "poly_add": w + BOTH_SQL + ",\n" + combined + " SELECT * FROM r",
         "poly_sub": w + BOTH_SQL + " SELECT DISTINCT id, 0 AS ex, 0 AS ey, 0.0::DOUBLE AS coef FROM tp",
         "poly_mul": w + BOTH_SQL + """,
