@@ -12,6 +12,8 @@ from arbormetric.llm.tables import small, stored, table
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Labelled rows, in expectation, from which the trees are fitted.
 FIT_ROWS = 20_000
+#: Those of each label that are drawn in any case, all of them where there are fewer.
+LEAST_ROWS = 500
 #: Labelled rows of average rate that every suffix counts besides its own.
 PRIOR = 10.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,13 +78,14 @@ def with_suffix_rates(rows: DataFrame) -> DataFrame:
 
 
 def fit_trees(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> GBTClassificationModel | float:
-    """Boosted trees from about ``fit_rows`` labelled rows, drawn evenly by a hash of the url; the
-    one label that there is, or 0 without any, if there are not two."""
+    """Boosted trees from about ``fit_rows`` labelled rows, drawn by a hash of the url, evenly but for
+    LEAST_ROWS of each label; the one label that there is, or 0 without any, if there are not two."""
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return next(iter(counts), 0.0)
-    part = min(1.0, fit_rows / sum(counts.values()))
-    drawn = labelled.filter(F.pmod(F.xxhash64("url", "key"), F.lit(1_000_000)) < int(part * 1_000_000) + 1)
+    parts = {k: min(1.0, max(fit_rows / sum(counts.values()), LEAST_ROWS / n)) for k, n in counts.items()}
+    part = F.when(F.col("label") == 1.0, int(parts[1.0] * 1_000_000) + 1).otherwise(int(parts[0.0] * 1_000_000) + 1)
+    drawn = labelled.filter(F.pmod(F.xxhash64("url", "key"), F.lit(1_000_000)) < part)
     drawn = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(drawn).select("features", "label"))
     if drawn.select("label").distinct().count() < 2:
         return max(counts, key=counts.get)

@@ -121,6 +121,40 @@ def test_a_damaged_archive_ends_its_chain(spark, tmp_path):
     assert len(heads) == 1 and "urn:page:1>" in heads[0]
 
 
+URL_SQL = """
+WITH parts AS (SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, rule) AS (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')),
+fits AS (SELECT page_id, arg_max((rule, verdict), len(rule)) AS best FROM parts, rules
+  WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id)
+SELECT page_id, coalesce(host, ''), coalesce(path, ''), best[1], best[2] FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
+def test_url_rules_by_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    some = lambda *xs: rng.choice(xs)
+    named = [some("http", "HTTPS", "") + some("://", "://", "//") + some("", "a.", "Www.", "not") + some("example", "EXAMPLE", "x") + some(".net", ".com", ".org", "", ".net:80")
+            + some("", "/", "/en/", "/de/x", "/fr/", "/EN/", "/en?", "/fr/#y", "?/en/", "/a://b/en/") for _ in range(300)]
+    pages = spark.createDataFrame([(i, None if i == 7 else u) for i, u in enumerate(named)], "page_id long, url string")
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in urls_of(pages)]
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas())
+    assert sorted(got, key=str) == sorted(db.execute(URL_SQL).fetchall(), key=str)
+
+
+def urls_of(pages):
+    return urls.judge_urls(pages).collect()
+
+
+def test_rare_labels_are_drawn(spark):
+    labelled = spark.range(40_000).selectExpr("concat('u', id) as url", "id as key", "if(id % 4000 = 0, 1.0D, 0.0D) as label", *[f"0.0D as {f}" for f in urls.FEATURES])
+    model = urls.fit_trees(labelled, 50)
+    assert not isinstance(model, float)
+
+
 def test_urls(spark):
     rows = [(1, "https://Blog.A.NET/x?y"), (2, "http://www.example.net/en/1#t"), (3, "http://example.com/de/"), (4, "http://example.com/de"), (5, "x://a.org/fr/z"),
             (6, None), (7, "no scheme"), (8, "http://net"), (9, "http://notnet/"), (10, "http://É.net/"), (11, "a://b://c.net/"), (2, "http://www.example.net/en/1#t")]
