@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arbormetric.llm.components import connected_components
-from arbormetric.llm.tables import byte_runs, fresh, small, stored, table
+from arbormetric.llm.tables import arrow_rows, byte_runs, fresh, small, stored, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -20,6 +20,8 @@ REGISTERS = BANDS * ROWS
 NO_ID = -(2**63)
 #: Rows and bytes of text whose signatures are computed at once.
 BATCH, BATCH_BYTES = 512, 1 << 20
+#: Rows that a worker is handed at once.
+ARROW_ROWS = 2048
 #: Buckets of up to FEW texts are compared pair by pair, larger ones in cells.
 FEW = 16
 CELL = 512
@@ -261,7 +263,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"),
                        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("h2"))
-    signed = stored(_signed(rows))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        signed = stored(_signed(rows))
     nodes = stored(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
                    .withColumn("node", F.monotonically_increasing_id()))
     bands = nodes.select(F.col("node").alias("id"), "n", F.explode("bands").alias("key"))

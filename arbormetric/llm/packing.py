@@ -15,13 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arbormetric.llm.bytepairs import byte_signs
-from arbormetric.llm.tables import byte_runs, table
+from arbormetric.llm.tables import arrow_rows, byte_runs, stored, table
 
 CAPACITY = 2048
 OPEN_BINS = 256
 SHARD_ROWS = 8192
 #: Bytes of text that a task encodes at once; a longer text is encoded alone.
 BATCH_BYTES = 1 << 22
+#: Rows that a worker is handed at once.
+ARROW_ROWS = 2048
 #: Distinct words that are Python strings at a time.
 WORDS = 1 << 14
 MARK = "\x01"
@@ -183,8 +185,9 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     read."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, "doc_id", "text", vocabulary or public_tokenizers.path("word_bpe_49k.json"), capacity)
-    return pack(pieces, docs.count(), capacity).withColumnRenamed("doc", "doc_id")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        pieces = stored(token_pieces(docs, "doc_id", "text", vocabulary or public_tokenizers.path("word_bpe_49k.json"), capacity))
+    return pack(pieces, pieces.count(), capacity).withColumnRenamed("doc", "doc_id")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
