@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from arbormetric.llm.components import connected_components
-from arbormetric.llm.tables import small, stored, table
+from arbormetric.llm.tables import fresh, small, stored, table
 
-#: Bits that the SimHashes of a candidate pair may differ in, and the blocks they are cut into: two
-#: hashes that differ in DISTANCE bits agree in BLOCKS - DISTANCE whole blocks.
-DISTANCE = 3
-BLOCKS = (13, 13, 13, 13, 12)
+#: Blocks that a SimHash is cut into, and how many of them a candidate pair shares: hashes that
+#: differ in up to len(BLOCKS) - SHARED bits always do, and most of those up to DISTANCE, the most
+#: that a candidate pair may differ in.
+BLOCKS = (11, 11, 11, 11, 10, 10)
+SHARED = 2
+DISTANCE = 9
 SIMILARITY = 0.8
 #: Numbers of edits tried before the full one that the similarity allows.
 NARROW = (16, 64)
-#: Lines of a bucket that are compared with one another at once.
-FEW = 4
 #: Words of fewer letters carry no weight in lines that have longer ones.
 LETTERS = 4
 #: Stands for a null id, and so goes before all others.
@@ -37,29 +38,34 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``id, doc, line, words`` for each line; ``doc`` is the text's hash, which tells apart the
-    documents of an id."""
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """``id, doc, line, own`` for each line; ``doc`` is the text's hash, which tells apart the documents
+    of an id."""
     # The outer form infers no filter, which would split every text twice.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
-    return rows.select("id", "doc", "line", line_words(F.col("own")).alias("words"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """``id, doc, line, words`` for each line."""
+    return _raw_lines(docs).select("id", "doc", "line", line_words(F.col("own")).alias("words"))
 
 
 def _simhash(lines: DataFrame) -> DataFrame:
-    """``id, doc, line, h1, h2, sim`` for each line that has words. The words' hashes are summed up bit by
+    """``id, doc, line, h1, h2, chars, sim`` for each line that has words; ``chars`` is the length of the
+    normal form. The words' hashes are summed up bit by
     bit, three counters in a long, by one aggregation that combines before the shuffle. A
     counter holds a million words; beyond that it runs into its neighbour, alike for equal lines."""
     long_words = F.filter("words", lambda w: F.length(w) >= LETTERS)
-    keyed = lines.select("id", "doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.size("words"), "words").alias("h2"), "words", long_words.alias("long"))
-    each = keyed.select("id", "doc", "line", "h1", "h2", F.explode_outer(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
-    each = each.filter("w is not null").select("id", "doc", "line", "h1", "h2", F.xxhash64("w").alias("x"))
+    keyed = lines.select("id", "doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.size("words"), "words").alias("h2"), F.length(F.array_join("words", " ")).cast("long").alias("chars"), "words", long_words.alias("long"))
+    each = keyed.select("id", "doc", "line", "h1", "h2", "chars", F.explode_outer(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
+    each = each.filter("w is not null").select("id", "doc", "line", "h1", "h2", "chars", F.xxhash64("w").alias("x"))
     sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(21)]
-    sums = each.groupBy("id", "doc", "line", "h1", "h2").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("x", 63)).alias("s63"), *sums)
+    sums = each.groupBy("id", "doc", "line", "h1", "h2", "chars").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("x", 63)).alias("s63"), *sums)
     # A counter is over half of n if, raised by the rest to 2^20, it reaches bit 20.
     rest = (F.lit((1 << 20) - 1) - F.floor(F.col("n") / 2)) * F.lit(LANES)
     bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{i}") + rest, 20).bitwiseAND(F.lit(LANES)), i) for i in range(21)]
     bits.append(F.when(F.col("s63") * 2 > F.col("n"), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select("id", "doc", "line", "h1", "h2", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
+    return sums.select("id", "doc", "line", "h1", "h2", "chars", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim"))
 
 
 def _keys(sim: str) -> Column:
@@ -67,7 +73,7 @@ def _keys(sim: str) -> Column:
     starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
     block = [F.shiftrightunsigned(sim, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, BLOCKS, strict=True)]
     keys = []
-    for n, chosen in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE)):
+    for n, chosen in enumerate(combinations(range(len(BLOCKS)), SHARED)):
         key = F.lit(n).cast("long")
         for i in chosen:
             key = F.shiftleft(key, BLOCKS[i]).bitwiseOR(block[i])
@@ -75,25 +81,114 @@ def _keys(sim: str) -> Column:
     return F.array(*keys)
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+def _most_edits(chars_a: str, chars_b: str, similarity: float) -> Column:
+    return F.floor(F.greatest(chars_a, chars_b) * (1 - similarity) + 1e-9)
+
+
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether two lines ``sim_*, chars_*`` can be similar: near hashes, and lengths that the
+    allowed edits can make equal."""
+    return ((F.bit_count(F.col(f"sim_{a}").bitwiseXOR(F.col(f"sim_{b}"))) <= DISTANCE)
+            & (F.abs(F.col(f"chars_{a}") - F.col(f"chars_{b}")) <= _most_edits(f"chars_{a}", f"chars_{b}", similarity)))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes whose normalised lines are similar by edit distance, read in full."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "h1", "first.*")
     wanted = small(stored(wanted)).select("node", "h1", "id", "doc", "line")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    words = line_words(F.try_element_at("lines", F.col("line") + 1))
-    texts = own.join(wanted, ["id", "doc"]).select("node", "h1", words.alias("words")).filter(F.xxhash64("words") == F.col("h1"))
-    texts = stored(texts.select("node", F.array_join("words", " ").alias("own")).groupBy("node").agg(F.min("own").alias("own")))
+    texts = _raw_lines(docs).join(wanted, ["id", "doc", "line"]).select("node", "h1", line_words(F.col("own")).alias("words"))
+    texts = texts.filter(F.xxhash64("words") == F.col("h1")).select("node", F.array_join("words", " ").alias("own"))
+    texts = stored(texts.groupBy("node").agg(F.min("own").alias("own")))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    most = F.floor(F.greatest(F.length("text_a"), F.length("text_b")) * (1 - similarity) + 1e-9).cast("int")
+    both = both.withColumn("most", _most_edits(F.length("text_a"), F.length("text_b"), similarity).cast("int"))
     # Few bytes, much work: dealt out anew, so that the pairs are not put together in a few tasks.
-    both = both.withColumn("most", most).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Most pairs differ in a few signs, which a narrow band of the edit matrix tells.
-    tries = [f"(most > {low} AND levenshtein(text_a, text_b, least(most, {high})) >= 0)" for low, high in zip((-1, *NARROW), (*NARROW, 1 << 30), strict=True)]
-    return both.filter(F.expr(" OR ".join(tries))).select("a", "b")
+    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.filter(_similar()).select("a", "b")
+
+
+def _similar() -> Column:
+    """Whether ``text_a`` and ``text_b`` are ``most`` edits apart or less. Words that stand in line with one
+    another mostly tell; otherwise the edit matrix, which grows with what is compared, does
+    without what both lines begin or end with."""
+    turned = lambda p: F.struct(F.reverse(p.a).alias("a"), F.reverse(p.b).alias("b"))
+    inner = _let(_without_common_start(F.struct(F.col("text_a").alias("a"), F.col("text_b").alias("b"))), lambda p: _without_common_start(turned(p)))
+    return (_edits_in_line() <= F.col("most")) | _let(inner, lambda p: _within(p, F.col("most")))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _within(pair: Column, most: Column) -> Column:
+    """Whether ``a`` and ``b`` are ``most`` edits apart or less; few are tried first, in a narrow band."""
+    tries = [(most > low) & (F.call_function("levenshtein", pair.a, pair.b, F.least(most, F.lit(high))) >= 0) for low, high in zip((-1, *NARROW), (*NARROW, 1 << 30), strict=True)]
+    return reduce(lambda x, y: x | y, tries)
+
+
+def _without_common_start(pair: Column) -> Column:
+    """``a`` and ``b`` without their longest common start, found by binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in range(30, -1, -1)))
+
+    def longer(p: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+            (step <= p.least - n) & (p.a.substr(F.lit(1), n + step) == p.b.substr(F.lit(1), n + step)), n + step).otherwise(n))
+
+    def cut(p: Column) -> Column:
+        return _let(longer(p), lambda n: F.struct(p.a.substr(n + 1, F.length(p.a)).alias("a"), p.b.substr(n + 1, F.length(p.b)).alias("b")))
+
+    return _let(_let(pair, lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), F.least(F.length(p.a), F.length(p.b)).alias("least"))), cut)
+
+
+def _edits_in_line() -> Column:
+    """Edits that surely make one of ``text_a, text_b`` the other, at a cost in proportion to their
+    words: every word of the line of fewer words is changed into its counterpart, counted from
+    the start up to some word and from the end after it, and the other line's words between
+    are added. Each step of the fold keeps the least for both ways of counting."""
+    fewer = "size(split(text_a, ' ')) <= size(split(text_b, ' '))"
+    short, long = (f"split(if({fewer}, text_{x}, text_{y}), ' ')" for x, y in ("ab", "ba"))
+    # Matched words of the longer line are taken off the price of adding it whole.
+    price = "if(w.short[i] = w.long[{0}], 0, levenshtein(w.short[i], w.long[{0}])) - length(w.long[{0}]) - 1"
+    step = f"named_struct('start', s.start + {price.format('i')}, 'end', least(s.start, s.end) + {price.format('i + size(w.long) - size(w.short)')})"
+    fold = f"aggregate(sequence(0, size(w.short) - 1), named_struct('start', 0, 'end', 0), (s, i) -> {step}, s -> least(s.start, s.end))"
+    return F.expr(f"transform(array(named_struct('short', {short}, 'long', {long})), w -> {fold} + length(array_join(w.long, ' ')) + 1)[0]")
+
+
+def _linked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with the ``root`` of their group so far."""
+    known = roots.toDF("node", "known")
+    return nodes.join(known, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+
+
+def _first_candidates(crowded: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: for every line of the crowded buckets the smallest line of a bucket that can be
+    similar, and the most alike of the lines that follow it in the order of the hashes."""
+    bucket = Window.partitionBy("key").orderBy("sim", "node")
+    own = {"sim": "sim_o", "chars": "chars_o"}
+    both = crowded.withColumns({f"{c}_l": F.first(c).over(bucket) for c in ("node", "sim", "chars")} | {f"{c}_n": F.lead(c).over(bucket) for c in ("node", "sim", "chars")})
+    both = both.withColumnsRenamed(own)
+    lead = F.when((F.col("node") != F.col("node_l")) & _near("l", "o", similarity), F.col("node_l"))
+    following = F.when(_near("n", "o", similarity), F.struct(F.bit_count(F.col("sim_o").bitwiseXOR(F.col("sim_n"))).alias("bits"), F.col("node_n").alias("node")))
+    best = both.select("node", lead.alias("lead"), following.alias("next")).filter("lead is not null or next is not null")
+    best = best.groupBy("node").agg(F.min("lead").alias("lead"), F.min("next").alias("next"))
+    return best.select("node", F.explode(F.array("lead", "next.node")).alias("other")).filter("other is not null").select(*_pair("node", "other")).distinct()
+
+
+def _other_candidates(crowded: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all lines of a crowded bucket that can be similar and are in different groups. The
+    rows of a bucket's largest group only meet those of its other groups."""
+    counts = crowded.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    placed = crowded.join(mixed.select("key", "main"), "key")
+    minor = placed.filter("root <> main").select("key", F.col("node").alias("a"), F.col("sim").alias("sim_a"), F.col("chars").alias("chars_a"), F.col("root").alias("root_a"))
+    placed = placed.select("key", F.col("node").alias("b"), F.col("sim").alias("sim_b"), F.col("chars").alias("chars_b"), F.col("root").alias("root_b"), "main")
+    # A pair of two smaller groups is met once, one with the largest from its smaller side.
+    met = minor.join(placed, "key").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _near("a", "b", similarity))
+    return met.select(*_pair("a", "b")).distinct()
 
 
 def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -101,40 +196,25 @@ def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     group's occurrence that stays, the one of the smallest id and then place and text hash.
 
     Lines are in one group if their normal forms are equal, or a chain of pairs joins them whose
-    SimHashes differ in at most DISTANCE bits and whose edit similarity is ``similarity`` or more.
-    Equal lines are one node. In a block's bucket a line meets those that follow in the order of the
-    hashes, which are all others in a bucket of up to FEW lines, and in a larger one the smallest;
-    then all candidates of large buckets still in different groups meet, so no link is lost. A null text
-    has no lines, a null id counts as the smallest, rows that repeat an id and text have
-    their lines once, different texts of one id are documents of their own, and lines without words
-    are no lines here.
+    SimHashes share SHARED blocks and differ in at most DISTANCE bits and whose edit similarity is
+    ``similarity`` or more. Equal lines are one node. Buckets of two are pairs by themselves. In a crowded
+    bucket a line first meets the smallest one and the next in the order of the hashes; then all
+    candidates still in different groups meet, so no link is lost. A null text has no lines, a null
+    id counts as the smallest, rows that repeat an id and text have their lines once, different texts of
+    one id are documents of their own, and lines without words are no lines here.
     """
     lines = stored(_simhash(_lines(docs)))
-    nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.min("sim").alias("sim"))
+    nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.min("sim").alias("sim"), F.min("chars").alias("chars"))
                    .withColumn("node", F.monotonically_increasing_id()))
-    bucket = Window.partitionBy("key").orderBy("sim", "node")
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = F.struct("node", "sim")
-    blocks = nodes.select("node", "sim", F.explode(_keys("sim")).alias("key"))
-    blocks = blocks.withColumns({
-        "of": F.count("*").over(whole), "least": F.min(own).over(whole), "next": F.array(*(F.lead(own, i).over(bucket) for i in range(1, FEW)))})
-    near = F.transform(F.filter("next", lambda x: F.bit_count(F.col("sim").bitwiseXOR(x.sim)) <= DISTANCE), lambda x: x.node)
-    blocks = stored(blocks.select("key", "node", "sim", "of", F.col("least.node").alias("lead"), F.col("least.sim").alias("lead_sim"), near.alias("near"))
-                    .filter((F.size("near") > 0) | (F.col("of") > FEW)))
-    large = blocks.filter(F.col("of") > FEW)
-    stars = large.filter((F.col("node") != F.col("lead")) & _near("sim", "lead_sim")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    close = blocks.select("node", F.explode("near").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    stars = stored(stars.union(close).distinct())
-    links = stored(_verified(docs, nodes, stars, similarity))
+    blocks = nodes.select("node", "sim", "chars", F.explode(_keys("sim")).alias("key"))
+    ends = [f(c).alias(f"{c}_{n}") for c in ("node", "sim", "chars") for f, n in ((F.min, "a"), (F.max, "b"))]
+    buckets = stored(blocks.groupBy("key").agg(F.count("*").alias("of"), *ends).filter((F.col("of") > 2) | ((F.col("of") == 2) & _near("a", "b", similarity))))
+    crowded = stored(blocks.join(buckets.filter("of > 2").select("key"), "key").select("key", "node", "sim", "chars"))
+    pairs = buckets.filter("of = 2").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    met = stored(pairs.union(_first_candidates(crowded, similarity)).distinct())
+    links = stored(_verified(docs, nodes, met, similarity))
     roots = connected_components(links)
-    placed = large.join(roots.toDF("node", "root"), "node", "left").select("key", "node", "sim", F.coalesce("root", "node").alias("root"))
-    counts = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    placed = placed.join(mixed.select("key", "main"), "key")
-    minor = placed.filter("root <> main").select("key", F.col("node").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
-    rest = (minor.join(placed.toDF("key", "b", "sim_b", "root_b", "main"), "key").filter((F.col("root_a") != F.col("root_b")) & _near("sim_a", "sim_b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
+    rest = stored(_other_candidates(_linked(crowded, roots), similarity).join(met, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         more = stored(_verified(docs, nodes, rest, similarity))
         if more.limit(1).count():
@@ -158,15 +238,16 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> D
     ``n_chars`` is that of the new text. A document that has lines with words and keeps none of
     them goes; one that never had any stays as it is, and so do all other columns."""
     own = F.struct("id", "line", "doc") == F.col("first")
+    known, known_doc, some, cut, here, here_doc, text = fresh(docs, "known", "known_doc", "some", "cut", "here", "here_doc", "new_text")
     lines = stored(_groups(docs, similarity).select("id", "doc", "line", own.alias("stays")))
-    cut = stored(lines.groupBy("id", "doc").agg(F.bool_or("stays").alias("__some"), F.collect_set(F.when(~F.col("stays"), F.col("line"))).alias("__cut"))
-                 .filter(F.size("__cut") > 0).withColumnsRenamed({"id": "__id", "doc": "__doc"}))
-    rows = docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": _text_hash()})
-    rows = rows.join(small(cut), (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__doc")), "left")
-    rows = rows.filter(F.coalesce("__some", F.lit(True)))
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__cut", i)), "\n")
-    rows = rows.withColumn("__text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(text))
-    changed = {"text": F.col("__text"), "n_chars": F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))}
+    cuts = lines.groupBy(F.col("id").alias(known), F.col("doc").alias(known_doc)).agg(F.bool_or("stays").alias(some), F.collect_set(F.when(~F.col("stays"), F.col("line"))).alias(cut))
+    cuts = stored(cuts.filter(F.size(cut) > 0))
+    rows = docs.withColumns({here: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), here_doc: _text_hash()})
+    rows = rows.join(small(cuts), (F.col(here) == F.col(known)) & (F.col(here_doc) == F.col(known_doc)), "left")
+    rows = rows.filter(F.coalesce(some, F.lit(True)))
+    shorter = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(cut, i)), "\n")
+    rows = rows.withColumn(text, F.when(F.col(known).isNull(), F.col("text")).otherwise(shorter))
+    changed = {"text": F.col(text), "n_chars": F.when(F.col(known).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
     return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 

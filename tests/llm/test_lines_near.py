@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arbormetric.llm import near
 from arbormetric.llm.components import connected_components
-from arbormetric.llm.lines import line_groups, without_repeated_lines
+from arbormetric.llm.lines import BLOCKS, DISTANCE, SHARED, _edits_in_line, _lines, _simhash, _similar, line_groups, without_repeated_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,24 +76,53 @@ def test_line_groups(spark):
     assert without_repeated_lines(docs.limit(0)).count() == 0
 
 
-def test_fuzzy_links_are_complete(spark):
-    """All pairs within the distance and the similarity are in one group."""
-    from arbormetric.llm.lines import DISTANCE, _lines, _simhash
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def edited(rng, own, n):
+    own = list(own)
+    for _ in range(n):
+        at = rng.randrange(len(own))
+        own[at : at + rng.randrange(2)] = words(rng, rng.randrange(2)) if len(own) > 1 else words(rng, 1)
+    return own
+
 
+def test_similar_lines_are_told_by_their_edits(spark):
+    """The words in line and the shortened edit matrix tell what the whole edit matrix tells."""
+    rng = random.Random(9)
+    pairs = [("a", "a b"), ("é ü", "é u"), ("x", "y"), ("same start and end", "same start or other end")]
+    for _ in range(60):
+        own = words(rng, rng.randrange(1, 30))
+        pairs.append((" ".join(own), " ".join(edited(rng, own, rng.randrange(1, 9)))))
+    rows = [(n, a, b, int(max(len(a), len(b)) * 0.2 + 1e-9)) for n, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "n int, text_a string, text_b string, most int")
+    got = {r.n for r in frame.filter(_similar()).collect()}
+    want = {n for n, a, b, most in rows if edits(a, b) <= most}
+    assert got == want and 0 < len(want) < len(rows)
+    assert all(r.most_in_line >= edits(r.text_a, r.text_b) for r in frame.withColumn("most_in_line", _edits_in_line()).collect())
+
+
+def test_fuzzy_links_are_complete(spark):
+    """All pairs that share blocks, are within the distance and the similarity are in one group."""
     rng = random.Random(5)
     base = words(rng, 80)
-    texts = []
-    for i in range(60):
-        own = list(base)
-        for _ in range(rng.randrange(4)):
-            own[rng.randrange(80)] = words(rng, 1)[0]
-        texts.append((i, " ".join(own)))
+    texts = [(i, " ".join(edited(rng, base, rng.randrange(12)))) for i in range(60)]
     docs = docs_of(spark, texts)
-    sims = {r.id: r.sim for r in _simhash(_lines(docs)).collect()}
-    links = [(a, b) for a in sims for b in sims if a < b and ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= DISTANCE]
+    sims = {r.id: r.sim & (2**64 - 1) for r in _simhash(_lines(docs)).collect()}
+    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    shared = lambda x: sum(not (x >> s) & ((1 << w) - 1) for s, w in zip(starts, BLOCKS, strict=True))
+    near_pairs = [(a, b) for a in sims for b in sims if a < b and (sims[a] ^ sims[b]).bit_count() <= DISTANCE and shared(sims[a] ^ sims[b]) >= SHARED]
+    own = dict(texts)
+    links = [(a, b) for a, b in near_pairs if edits(own[a], own[b]) <= max(len(own[a]), len(own[b])) * 0.2 + 1e-9]
     want = components(links, sims)
     got = {r.id: r.first.id for r in line_groups(docs).collect()}
-    assert got == want and len(set(want.values())) > 1
+    assert got == want and len(set(want.values())) < len(want)
 
 
 def test_bag_minhash_estimates_weighted_jaccard():
