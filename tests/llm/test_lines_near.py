@@ -111,8 +111,8 @@ def test_similar_lines_are_told_by_their_edits(spark):
 def test_fuzzy_links_are_complete(spark):
     """All pairs that share blocks, are within the distance and the similarity are in one group."""
     rng = random.Random(5)
-    base = words(rng, 80)
-    texts = [(i, " ".join(edited(rng, base, rng.randrange(12)))) for i in range(60)]
+    base = words(rng, 24)
+    texts = [(i, " ".join(edited(rng, base, rng.randrange(6)))) for i in range(40)]
     docs = docs_of(spark, texts)
     sims = {r.id: r.sim & (2**64 - 1) for r in _simhash(_lines(docs)).collect()}
     starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
