@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from arbormetric.llm.components import connected_components
-from arbormetric.llm.tables import fresh, small, stored, table
+from arbormetric.llm.tables import BROADCAST_ROWS, fresh, small, stored, table
 
 #: Blocks that a SimHash is cut into, and how many of them a candidate pair shares: hashes that
 #: differ in up to len(BLOCKS) - SHARED bits always do, and most of those up to DISTANCE, the most
@@ -18,6 +18,10 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 SHARED = 2
 DISTANCE = 9
 SIMILARITY = 0.8
+#: Buckets of about so many lines are crowded, as told by one line in CROWD_SHARE; which way a
+#: bucket is taken changes its cost, not its links.
+CROWD = 128
+CROWD_SHARE = 16
 #: Numbers of edits tried before the full one that the similarity allows.
 NARROW = (16, 64)
 #: Words of fewer letters carry no weight in lines that have longer ones.
@@ -41,8 +45,9 @@ def _text_hash() -> Column:
 def _raw_lines(docs: DataFrame) -> DataFrame:
     """``id, doc, line, own`` for each line; ``doc`` is the text's hash, which tells apart the documents
     of an id."""
-    # The outer form infers no filter, which would split every text twice.
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "own"))
+    # Split below the outer form, which infers no filter: the text does not go along with its lines.
+    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("all"))
+    return split.select("id", "doc", F.posexplode_outer("all").alias("line", "own"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -56,7 +61,8 @@ def _simhash(lines: DataFrame) -> DataFrame:
     bit, three counters in a long, by one aggregation that combines before the shuffle. A
     counter holds a million words; beyond that it runs into its neighbour, alike for equal lines."""
     long_words = F.filter("words", lambda w: F.length(w) >= LETTERS)
-    keyed = lines.select("id", "doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.size("words"), "words").alias("h2"), F.length(F.array_join("words", " ")).cast("long").alias("chars"), "words", long_words.alias("long"))
+    normal = lines.select("id", "doc", "line", F.array_join("words", " ").alias("own"), "words")
+    keyed = normal.select("id", "doc", "line", F.xxhash64("own").alias("h1"), F.xxhash64(F.lit(7), "own").alias("h2"), F.length("own").cast("long").alias("chars"), "words", long_words.alias("long"))
     each = keyed.select("id", "doc", "line", "h1", "h2", "chars", F.explode_outer(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("words"))).alias("w"))
     each = each.filter("w is not null").select("id", "doc", "line", "h1", "h2", "chars", F.xxhash64("w").alias("x"))
     sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(21)]
@@ -98,10 +104,9 @@ def _pair(a: str, b: str) -> list[Column]:
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs of nodes whose normalised lines are similar by edit distance, read in full."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "h1", "first.*")
-    wanted = small(stored(wanted)).select("node", "h1", "id", "doc", "line")
-    texts = _raw_lines(docs).join(wanted, ["id", "doc", "line"]).select("node", "h1", line_words(F.col("own")).alias("words"))
-    texts = texts.filter(F.xxhash64("words") == F.col("h1")).select("node", F.array_join("words", " ").alias("own"))
+    ids = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = stored(nodes.join(small(ids), "node").select("node", "h1", "first.*"))
+    texts = _wanted_lines(docs, wanted).filter(F.xxhash64("own") == F.col("h1"))
     texts = stored(texts.groupBy("node").agg(F.min("own").alias("own")))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     both = both.withColumn("most", _most_edits(F.length("text_a"), F.length("text_b"), similarity).cast("int"))
@@ -110,6 +115,18 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     return both.filter(_similar()).select("a", "b")
 
 
+def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, h1, own`` for ``wanted(node, h1, id, doc, line)``: the normalised lines, of documents that
+    are split only if a line of theirs is wanted."""
+    asked = wanted.groupBy("id", "doc").agg(F.collect_list(F.struct("node", "h1", "line")).alias("asked"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _text_hash().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = _let(F.split("text", "\n"), lambda own: F.transform("asked", lambda x: F.struct(x.node.alias("node"), x.h1.alias("h1"), F.get(own, x.line).alias("own"))))
+    lines = texts.join(asked, ["id", "doc"]).select(F.explode(found).alias("x")).select("x.*")
+    return lines.select("node", "h1", F.array_join(line_words(F.col("own")), " ").alias("own"))
+
+
 def _similar() -> Column:
     """Whether ``text_a`` and ``text_b`` are ``most`` edits apart or less. Words that stand in line with one
     another mostly tell; otherwise the edit matrix, which grows with what is compared, does
@@ -164,6 +181,31 @@ def _linked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(known, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs that are not in one group so far."""
+    known = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    return known.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """``nodes`` once for every key of their hashes."""
+    return nodes.select("*", F.explode(_keys("sim")).alias("key"))
+
+
+def _near_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, bits``: all lines ``node, sim, chars, root, key`` that share a key, can be similar and are
+    in different groups. Pairs by chance end in the join, so only near ones are ever written."""
+    one, other = (blocks.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "sim", "chars", "root"))) for n in "ab")
+    met = one.join(other, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _near("a", "b", similarity))
+    return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.min(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b")))).alias("bits"))
+
+
+def _best_pairs(near: DataFrame) -> DataFrame:
+    """``a, b``: of each line's ``near`` pairs with smaller lines that of the smallest and that of the most alike."""
+    best = near.groupBy("b").agg(F.min("a").alias("least"), F.min(F.struct("bits", "a")).alias("next"))
+    return best.select(F.explode(F.array_distinct(F.array("least", "next.a"))).alias("a"), "b")
+
+
 def _first_candidates(crowded: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: for every line of the crowded buckets the smallest line of a bucket that can be
     similar, and the most alike of the lines that follow it in the order of the hashes."""
@@ -197,24 +239,34 @@ def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Lines are in one group if their normal forms are equal, or a chain of pairs joins them whose
     SimHashes share SHARED blocks and differ in at most DISTANCE bits and whose edit similarity is
-    ``similarity`` or more. Equal lines are one node. Buckets of two are pairs by themselves. In a crowded
-    bucket a line first meets the smallest one and the next in the order of the hashes; then all
-    candidates still in different groups meet, so no link is lost. A null text has no lines, a null
+    ``similarity`` or more. Equal lines are one node. In a crowded bucket a line first meets the smallest
+    one and the next in the order of the hashes, in the others the smallest and the most alike of
+    those near it; then all near ones still in different groups meet, so no link is lost. A null text has no lines, a null
     id counts as the smallest, rows that repeat an id and text have their lines once, different texts of
     one id are documents of their own, and lines without words are no lines here.
     """
     lines = stored(_simhash(_lines(docs)))
     nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.min("sim").alias("sim"), F.min("chars").alias("chars"))
                    .withColumn("node", F.monotonically_increasing_id()))
-    blocks = nodes.select("node", "sim", "chars", F.explode(_keys("sim")).alias("key"))
-    ends = [f(c).alias(f"{c}_{n}") for c in ("node", "sim", "chars") for f, n in ((F.min, "a"), (F.max, "b"))]
-    buckets = stored(blocks.groupBy("key").agg(F.count("*").alias("of"), *ends).filter((F.col("of") > 2) | ((F.col("of") == 2) & _near("a", "b", similarity))))
-    crowded = stored(blocks.join(buckets.filter("of > 2").select("key"), "key").select("key", "node", "sim", "chars"))
-    pairs = buckets.filter("of = 2").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    met = stored(pairs.union(_first_candidates(crowded, similarity)).distinct())
-    links = stored(_verified(docs, nodes, met, similarity))
+    hashes = nodes.select("node", "sim", "chars")
+    share = hashes.filter(F.pmod(F.xxhash64("node"), F.lit(CROWD_SHARE)) == 0)
+    hot = stored(_blocks(share).groupBy("key").agg(F.count("*").alias("of")).filter(F.col("of") * CROWD_SHARE >= CROWD).select("key"))
+    some, spread = hot.limit(1).count() > 0, _blocks(hashes.withColumn("root", F.col("node")))
+    if some:
+        crowded = stored(_blocks(hashes).join(small(hot), "key"))
+        met = stored(_first_candidates(crowded, similarity))
+        first = stored(_verified(docs, nodes, met, similarity))
+        spread = _blocks(_linked(hashes, connected_components(first))).join(small(hot), "key", "left_anti")
+    near = stored(_near_pairs(spread, similarity))
+    best = stored(_best_pairs(near))
+    links = stored(_verified(docs, nodes, best, similarity))
+    links = links.union(first) if some else links
     roots = connected_components(links)
-    rest = stored(_other_candidates(_linked(crowded, roots), similarity).join(met, ["a", "b"], "left_anti"))
+    rest = _apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
+    if some:
+        others = _other_candidates(_linked(crowded, roots), similarity)
+        rest = rest.union(others).distinct().join(met.union(best), ["a", "b"], "left_anti")
+    rest = stored(rest)
     if rest.limit(1).count():
         more = stored(_verified(docs, nodes, rest, similarity))
         if more.limit(1).count():

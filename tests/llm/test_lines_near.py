@@ -6,7 +6,7 @@ from collections import Counter
 import regex
 from pyspark.sql import functions as F
 
-from arbormetric.llm import near
+from arbormetric.llm import lines, near
 from arbormetric.llm.components import connected_components
 from arbormetric.llm.lines import BLOCKS, DISTANCE, SHARED, _edits_in_line, _lines, _simhash, _similar, line_groups, without_repeated_lines
 
@@ -125,6 +125,39 @@ def test_fuzzy_links_are_complete(spark):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """The ways through crowded and through other buckets give the same groups."""
+    rng = random.Random(21)
+    texts, base = [], words(rng, 24)
+    for n in range(3):
+        other = words(rng, 20)
+        texts += [(100 * n + i, "\n".join([" ".join(edited(rng, base, rng.randrange(6))), " ".join(edited(rng, other, rng.randrange(3)))])) for i in range(10)]
+    groups = lambda: {(r.id, r.line): tuple(r.first) for r in line_groups(docs_of(spark, texts)).collect()}
+    want = groups()
+    for crowd in (1, 4):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        monkeypatch.setattr(lines, "CROWD_SHARE", 1)
+        assert groups() == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_meetings_by_chance_are_not_written(spark, monkeypatch):
+    """Lines that only share buckets cost no rows of stored tables beyond those of the lines."""
+    monkeypatch.setattr(lines, "BLOCKS", (3, 3, 3, 3, 3, 3))
+    sizes, stored = [], lines.stored
+
+    def counted(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stored", counted)
+    rng = random.Random(23)
+    texts = [(n, " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(12))) for n in range(120)]
+    assert len({r.first for r in line_groups(docs_of(spark, texts)).collect()}) == 120
+    assert max(sizes) <= 2 * 120
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = random.Random(1)
     a, b = words(rng, 300), None
