@@ -1,7 +1,7 @@
 """Trees as node tables.
 
-``tree_nodes`` hashes the tokens of a tree to one partition once; depth, parent, size and sibling
-order are windows over that one exchange.
+``tree_nodes`` deals the trees out once, to as many tasks as their texts ask for; depth, parent, size and
+sibling order are windows over the tokens of that one exchange.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from arbormetric.functions.treetext import (
     tree_reference,
     tree_tokens,
 )
+from arbormetric.runtime import cut_lineage
+
+#: Characters of tree texts, and so tokens at most, that one task is dealt.
+TASK_CHARS = 250_000
 
 
 def canonical_trees(trees: DataFrame) -> DataFrame:
@@ -50,11 +54,20 @@ def structures(trees: DataFrame) -> DataFrame:
     )
 
 
+def _dealt_out(trees: DataFrame, key: str) -> DataFrame:
+    """``(key, tree)`` hashed by key to tasks of about ``TASK_CHARS`` characters each, so that what a window
+    sorts does not grow with the number of trees; an exchange below deals rows out before they
+    become tokens."""
+    texts = cut_lineage(trees.select(key, "tree"))
+    chars = texts.agg(F.sum(F.length("tree"))).first()[0] or 0
+    return texts.repartition(1 + chars // TASK_CHARS, key)
+
+
 def token_depths(trees: DataFrame, key: str = "tree_id") -> DataFrame:
     """``(key, pos, token, depth, labels)``: the parser stack as running sums over the tokens."""
     in_order = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     opens, closes = F.col("token") == "(", F.col("token") == ")"
-    tokens = trees.select(key, F.posexplode(tree_tokens(F.col("tree"))).alias("pos", "token"))
+    tokens = _dealt_out(trees, key).select(key, F.posexplode(tree_tokens(F.col("tree"))).alias("pos", "token"))
     return tokens.select(
         key,
         "pos",

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arbormetric.operators.nodes import canonical_trees, tree_nodes, tree_ref
+from arbormetric.operators import nodes
+from arbormetric.operators.nodes import canonical_trees, token_depths, tree_nodes, tree_ref
 from arbormetric.operators.pairs import all_pairs, pair_tiles
 from arbormetric.operators.paths import common_path_lengths
 from arbormetric.operators.nodes import tree_arrays
@@ -83,3 +84,13 @@ def test_common_paths(spark):
     df = spark.createDataFrame(rows, "tree_id long, tree string")
     found = common_path_lengths(tree_arrays(tree_nodes(df)), "tree_id").collect()
     assert [(r.i, r.j, r.length) for r in found] == [(0, 1, 2)]
+
+
+@pytest.mark.parametrize("table", [token_depths, tree_nodes])
+def test_more_trees_make_more_tasks_not_larger_ones(spark, monkeypatch, table):
+    monkeypatch.setattr(nodes, "TASK_CHARS", 100)
+    texts = spark.range(300).select(F.col("id").alias("tree_id"), F.lit("a(b,c(d))").alias("tree"))
+    # Hashed by key already, as by a join: the windows would stay in its few partitions.
+    rows = table(texts.repartition(2, "tree_id")).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 300 * (8 if table is token_depths else 4)
+    assert len(rows) > 20 and max(r["count"] for r in rows) <= 300
