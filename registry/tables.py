@@ -12,6 +12,10 @@ from arbormetric.operators.pairs import all_pairs
 from arbormetric.runtime import cut_lineage
 
 
+#: Orders in one task of their join with lines.
+TASK_ORDERS = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,17 +44,22 @@ def scores_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree per order: status, its return flags, the line statuses of each flag.
 
-    A tree has at most ten nodes however many lines an order has: the kinds of lines are bits
-    that are combined before the shuffle, and nothing is collected.
+    A tree has at most ten nodes however many lines an order has: the kinds of lines are bits that
+    are combined, and nothing is collected. Both sides are dealt out once, to as many tasks as
+    the orders ask for.
     """
+    orders = table(spark, sf_dir, "orders")
+    tasks = 1 + orders.count() // TASK_ORDERS
     flags, statuses = "ANR", "FO"
     place = (F.instr(F.lit(flags), F.col("l_returnflag")) - 1) * 2 + (
         F.instr(F.lit(statuses), F.col("l_linestatus")) - 1
     )
     kinds = (
         table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", F.call_function("shiftleft", F.lit(1), place).alias("kind"))
+        .repartition(tasks, "l_orderkey")
         .groupBy("l_orderkey")
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place)).alias("kinds"))
+        .agg(F.bit_or("kind").alias("kinds"))
     )
 
     def has(at: int):
@@ -62,7 +71,8 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         child = F.concat(F.lit(f"{flag}("), F.concat_ws(", ", *leaves), F.lit(")"))
         below.append(F.when(has(2 * n) | has(2 * n + 1), child))
     return (
-        table(spark, sf_dir, "orders")
+        orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+        .repartition(tasks, "o_orderkey")
         .join(kinds, F.col("o_orderkey") == F.col("l_orderkey"))
         .select(
             F.col("o_orderkey").alias("tree_id"),
