@@ -49,6 +49,33 @@ def test_best_fit():
     assert max(filled.values()) <= 100 and len(filled) < 1.1 * sum(lengths) / 100
 
 
+def test_words_are_asked_for_once(monkeypatch):
+    """Words of earlier batches, with other signs or cases, do not go through the merges again; what is
+    kept is bounded and changes no ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, asked = Tokenizer.from_file(path), []
+    batches = [["stone river, stone", "it's Élan!"], ["Stone, RIVER élan, it's", None], ["", "River! İ \x01 <|endoftext|> a\u2028b"], ["stone ?! ... 12a Ünder; ×"] * 2]
+    whole = packing.WordIds._of_words
+    monkeypatch.setattr(packing.WordIds, "_of_words", lambda self, words: asked.extend(words) or whole(self, words))
+
+    def check():
+        encoder = packing.WordIds(path)
+        asked.clear()
+        for texts in batches:
+            got = encoder.encode(pa.array([t or "" for t in texts], pa.string()))
+            assert [ids.tolist() for ids in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        return encoder
+
+    check()
+    assert len(asked) == len(set(asked)) and {"stone", "river", "élan", "it's"} <= set(asked) and not {"Stone,", "RIVER"} & set(asked)
+    for name, most in (("REMEMBERED", 3), ("REMEMBERED_BYTES", 1)):
+        monkeypatch.setattr(packing, name, most)
+        assert len(check().known) < 12
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
