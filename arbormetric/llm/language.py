@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from arbormetric.llm.tables import byte_runs, fresh, small, stored, table
+from arbormetric.llm.tables import arrow_rows, byte_runs, fresh, small, stored, table
 from arbormetric.llm.urls import url_parts
 
 BUCKETS = 1 << 15
@@ -190,10 +190,11 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, all columns as they are. Rows are told apart
     by a hash of id and text: different texts of one id, or of none, are judged by themselves, and
     rows that repeat both stay if one of them is accepted. A null text is empty."""
-    model = fit_text_model(docs)
     (key,) = fresh(docs, "row_key")
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
-    judged = stored(identify_documents(rows.drop("doc_id").withColumnRenamed(key, "doc_id"), model))
+    with arrow_rows(docs.sparkSession, BATCH):
+        model = fit_text_model(docs)
+        judged = stored(identify_documents(rows.drop("doc_id").withColumnRenamed(key, "doc_id"), model))
     gone = judged.groupBy(F.col("id").alias(key)).agg(F.bool_or("accepted").alias("some")).filter("not some").select(key)
     return rows.join(small(stored(gone)), key, "left_anti").select(*docs.columns)
 

@@ -21,7 +21,7 @@ NO_ID = -(2**63)
 #: Rows and bytes of text whose signatures are computed at once.
 BATCH, BATCH_BYTES = 512, 1 << 20
 #: Rows that a worker is handed at once.
-ARROW_ROWS = 2048
+ARROW_ROWS = 512
 #: Buckets of up to FEW texts are compared pair by pair, larger ones in cells.
 FEW = 16
 CELL = 512

@@ -24,7 +24,7 @@ SHARD_ROWS = 8192
 #: Bytes of text that a task encodes at once; a longer text is encoded alone.
 BATCH_BYTES = 1 << 22
 #: Rows that a worker is handed at once.
-ARROW_ROWS = 2048
+ARROW_ROWS = 512
 #: Distinct words that are Python strings at a time.
 WORDS = 1 << 14
 MARK = "\x01"

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from arbormetric.llm import language, near, packing
 from arbormetric.llm.tables import scratch_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,3 +32,15 @@ def test_pipeline(spark):
     assert "[EMAIL]" in kept["personal_data"].filter("doc_id = 43").first().text
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "piece", "ids_crc32").collect())) == sorted(
         map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_python_stages_hand_over_few_rows(spark, monkeypatch):
+    """No stage hands Python thousands of whole texts at once, which the buffers of both sides would hold."""
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(1, "the house and the water", "en", "s", 1)], SCHEMA)
+    for module, stage in ((language, corpus_pipeline.language_id), (near, corpus_pipeline.near_dedup), (packing, corpus_pipeline.best_fit_packing)):
+        held, stored = [], module.stored
+        monkeypatch.setattr(module, "stored", lambda df, held=held, stored=stored: held.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or stored(df))
+        stage(spark, docs, "")
+        assert min(held) <= 512
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
