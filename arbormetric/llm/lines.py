@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from arbormetric.llm.components import connected_components
+from arbormetric.llm.components import connected_components, joined_components
 from arbormetric.llm.tables import BROADCAST_ROWS, fresh, small, stored, table
 
 #: Blocks that a SimHash is cut into, and how many of them a candidate pair shares: hashes that
@@ -143,7 +143,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _within(pair: Column, most: Column) -> Column:
     """Whether ``a`` and ``b`` are ``most`` edits apart or less; few are tried first, in a narrow band."""
-    tries = [(most > low) & (F.call_function("levenshtein", pair.a, pair.b, F.least(most, F.lit(high))) >= 0) for low, high in zip((-1, *NARROW), (*NARROW, 1 << 30), strict=True)]
+    # No try that is hardly cheaper than the full one.
+    tries = [(most > low) & (F.call_function("levenshtein", pair.a, pair.b, F.when(most > 2 * high, F.lit(high)).otherwise(most)) >= 0)
+             for low, high in zip((-1, *(2 * n for n in NARROW)), (*NARROW, 1 << 29), strict=True)]
     return reduce(lambda x, y: x | y, tries)
 
 
@@ -194,9 +196,12 @@ def _blocks(nodes: DataFrame) -> DataFrame:
 
 def _near_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
     """``a, b, bits``: all lines ``node, sim, chars, root, key`` that share a key, can be similar and are
-    in different groups. Pairs by chance end in the join, so only near ones are ever written."""
-    one, other = (blocks.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("node", "sim", "chars", "root"))) for n in "ab")
-    met = one.join(other, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _near("a", "b", similarity))
+    in different groups, where they have any. Pairs by chance end in the join, so only near ones are ever written. Buckets
+    are small here: they are looked up by key instead of being sorted on both sides."""
+    one, other = (blocks.select("key", *(F.col(c).alias(f"{c}_{n}") for c in blocks.columns if c != "key")) for n in "ab")
+    met = one.join(other.hint("shuffle_hash"), "key").filter((F.col("node_a") < F.col("node_b")) & _near("a", "b", similarity))
+    if "root" in blocks.columns:
+        met = met.filter(F.col("root_a") != F.col("root_b"))
     return met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.min(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b")))).alias("bits"))
 
 
@@ -251,17 +256,17 @@ def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     hashes = nodes.select("node", "sim", "chars")
     share = hashes.filter(F.pmod(F.xxhash64("node"), F.lit(CROWD_SHARE)) == 0)
     hot = stored(_blocks(share).groupBy("key").agg(F.count("*").alias("of")).filter(F.col("of") * CROWD_SHARE >= CROWD).select("key"))
-    some, spread = hot.limit(1).count() > 0, _blocks(hashes.withColumn("root", F.col("node")))
+    some, spread = hot.limit(1).count() > 0, _blocks(hashes)
     if some:
         crowded = stored(_blocks(hashes).join(small(hot), "key"))
         met = stored(_first_candidates(crowded, similarity))
         first = stored(_verified(docs, nodes, met, similarity))
-        spread = _blocks(_linked(hashes, connected_components(first))).join(small(hot), "key", "left_anti")
+        roots = connected_components(first)
+        spread = _blocks(_linked(hashes, roots)).join(small(hot), "key", "left_anti")
     near = stored(_near_pairs(spread, similarity))
     best = stored(_best_pairs(near))
     links = stored(_verified(docs, nodes, best, similarity))
-    links = links.union(first) if some else links
-    roots = connected_components(links)
+    roots = joined_components(roots, links) if some else connected_components(links)
     rest = _apart(near.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
     if some:
         others = _other_candidates(_linked(crowded, roots), similarity)
@@ -270,7 +275,7 @@ def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if rest.limit(1).count():
         more = stored(_verified(docs, nodes, rest, similarity))
         if more.limit(1).count():
-            roots = connected_components(links.union(more))
+            roots = joined_components(roots, more)
     joined = nodes.join(roots.toDF("node", "root"), "node").select("root", "h1", "h2", "first")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     moved = joined.join(least, "root").select("h1", "h2", "least")

@@ -6,7 +6,7 @@ from collections import Counter
 import regex
 from pyspark.sql import functions as F
 
-from arbormetric.llm import lines, near
+from arbormetric.llm import components as components_module, lines, near
 from arbormetric.llm.components import connected_components
 from arbormetric.llm.lines import BLOCKS, DISTANCE, SHARED, _edits_in_line, _lines, _simhash, _similar, line_groups, without_repeated_lines
 
@@ -44,6 +44,31 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_are_read_while_their_ends_are_apart(spark, monkeypatch):
+    """New links are joined to known components: those inside of one are not gone through again."""
+    rng = random.Random(4)
+    old = [(rng.randrange(i), i) for i in range(1, 120)] + [(rng.randrange(200, i), i) for i in range(201, 260)]
+    new = [(5, 9), (250, 3), (7, 7), (300, 301), (301, 302), (400, 119)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    roots, sizes, stored = connected_components(frame(old)), [], components_module.stored
+
+    def counted(df):
+        out = stored(df)
+        if df.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components_module, "stored", counted)
+    got = {r.id: r.root for r in components_module.joined_components(roots, frame(new)).collect()}
+    ids = {i for link in old + new for i in link} - {7} | {7}
+    assert got == components(old + new, ids)
+    assert max(sizes) <= 2 * len(new)
+    sizes.clear()
+    assert {r.id: r.root for r in connected_components(frame(old)).collect()} == components(old, {i for link in old for i in link})
+    # The links of a round are those between what the last one has joined.
+    assert sizes[0] == 2 * len(old) and sum(sizes[1:]) < sizes[0]
+
+
 def test_line_groups(spark):
     rng = random.Random(3)
     long = words(rng, 60)
