@@ -22,8 +22,11 @@ SIMILARITY = 0.8
 #: bucket is taken changes its cost, not its links.
 CROWD = 128
 CROWD_SHARE = 16
-#: Numbers of edits tried before the full one that the similarity allows.
-NARROW = (16, 64)
+#: Unequal words are compared letter by letter up to this length in the bounds of edits; longer
+#: ones count as changed throughout, as lines in scripts without blanks are one word.
+WORD = 64
+#: Words that are looked ahead for the counterpart of a word.
+AHEAD = 4
 #: Words of fewer letters carry no weight in lines that have longer ones.
 LETTERS = 4
 #: Stands for a null id, and so goes before all others.
@@ -129,11 +132,13 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _similar() -> Column:
     """Whether ``text_a`` and ``text_b`` are ``most`` edits apart or less. Words that stand in line with one
-    another mostly tell; otherwise the edit matrix, which grows with what is compared, does
-    without what both lines begin or end with."""
+    another mostly tell, or those that are found again a few words ahead; otherwise the edit matrix, which grows with the
+    square of what is compared, does without what both lines begin or end with. It is filled once: Spark walks along the
+    whole line for every row of it, so a narrower try first costs much and seldom tells what the words don't."""
     turned = lambda p: F.struct(F.reverse(p.a).alias("a"), F.reverse(p.b).alias("b"))
     inner = _let(_without_common_start(F.struct(F.col("text_a").alias("a"), F.col("text_b").alias("b"))), lambda p: _without_common_start(turned(p)))
-    return (_edits_in_line() <= F.col("most")) | _let(inner, lambda p: _within(p, F.col("most")))
+    told = (_edits_in_line() <= F.col("most")) | (_edits_by_step() <= F.col("most"))
+    return told | _let(inner, lambda p: F.call_function("levenshtein", p.a, p.b, F.col("most")) >= 0)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,14 +146,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _within(pair: Column, most: Column) -> Column:
-    """Whether ``a`` and ``b`` are ``most`` edits apart or less; few are tried first, in a narrow band."""
-    # No try that is hardly cheaper than the full one.
-    tries = [(most > low) & (F.call_function("levenshtein", pair.a, pair.b, F.when(most > 2 * high, F.lit(high)).otherwise(most)) >= 0)
-             for low, high in zip((-1, *(2 * n for n in NARROW)), (*NARROW, 1 << 29), strict=True)]
-    return reduce(lambda x, y: x | y, tries)
-
-
 def _without_common_start(pair: Column) -> Column:
     """``a`` and ``b`` without their longest common start, found by binary search."""
     steps = F.array(*(F.lit(1 << i) for i in range(30, -1, -1)))
@@ -163,6 +160,29 @@ def _without_common_start(pair: Column) -> Column:
     return _let(_let(pair, lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), F.least(F.length(p.a), F.length(p.b)).alias("least"))), cut)
 
 
+def _change(a: str, b: str) -> str:
+    """SQL for the edits, or more, that make word ``a`` word ``b``."""
+    return f"if({a} = {b}, 0, if(greatest(length({a}), length({b})) > {WORD}, greatest(length({a}), length({b})), levenshtein({a}, {b})))"
+
+
+def _edits_by_step() -> Column:
+    """Edits that surely make ``text_a`` into ``text_b``, at a cost in proportion to their words: the words of
+    ``text_a`` are gone through, ``j`` is the place of the next one of ``text_b``. Where they differ, the nearer of
+    both that is found again a few words ahead in the other line tells what is added or taken away; else one is changed into the other."""
+    found = f"named_struct('added', array_position(slice(w.b, s.j + 2, {AHEAD}), w.a[i]), 'gone', array_position(slice(w.a, i + 2, {AHEAD}), w.b[s.j]))"
+    next_gone = "named_struct('j', s.j, 'edits', s.edits + length(w.a[i]) + 1)"
+    step = f"""case when s.j >= size(w.b) then {next_gone}
+        when w.a[i] = w.b[s.j] then named_struct('j', s.j + 1, 'edits', s.edits)
+        else transform(array({found}), f -> case
+            when f.added > 0 and (f.gone = 0 or f.added <= f.gone)
+                then named_struct('j', s.j + int(f.added) + 1, 'edits', s.edits + length(array_join(slice(w.b, s.j + 1, int(f.added)), ' ')) + 1)
+            when f.gone > 0 then {next_gone}
+            else named_struct('j', s.j + 1, 'edits', s.edits + {_change('w.a[i]', 'w.b[s.j]')}) end)[0] end"""
+    rest = "s.edits + if(s.j < size(w.b), length(array_join(slice(w.b, s.j + 1, size(w.b)), ' ')) + 1, 0)"
+    fold = f"aggregate(sequence(0, size(w.a) - 1), named_struct('j', 0, 'edits', 0), (s, i) -> {step}, s -> {rest})"
+    return F.expr(f"transform(array(named_struct('a', split(text_a, ' '), 'b', split(text_b, ' '))), w -> {fold})[0]")
+
+
 def _edits_in_line() -> Column:
     """Edits that surely make one of ``text_a, text_b`` the other, at a cost in proportion to their
     words: every word of the line of fewer words is changed into its counterpart, counted from
@@ -171,7 +191,7 @@ def _edits_in_line() -> Column:
     fewer = "size(split(text_a, ' ')) <= size(split(text_b, ' '))"
     short, long = (f"split(if({fewer}, text_{x}, text_{y}), ' ')" for x, y in ("ab", "ba"))
     # Matched words of the longer line are taken off the price of adding it whole.
-    price = "if(w.short[i] = w.long[{0}], 0, levenshtein(w.short[i], w.long[{0}])) - length(w.long[{0}]) - 1"
+    price = _change("w.short[i]", "w.long[{0}]") + " - length(w.long[{0}]) - 1"
     step = f"named_struct('start', s.start + {price.format('i')}, 'end', least(s.start, s.end) + {price.format('i + size(w.long) - size(w.short)')})"
     fold = f"aggregate(sequence(0, size(w.short) - 1), named_struct('start', 0, 'end', 0), (s, i) -> {step}, s -> least(s.start, s.end))"
     return F.expr(f"transform(array(named_struct('short', {short}, 'long', {long})), w -> {fold} + length(array_join(w.long, ' ')) + 1)[0]")
@@ -251,7 +271,7 @@ def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one id are documents of their own, and lines without words are no lines here.
     """
     lines = stored(_simhash(_lines(docs)))
-    nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.min("sim").alias("sim"), F.min("chars").alias("chars"))
+    nodes = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line", "doc")).alias("first"), F.min("sim").alias("sim"), F.min("chars").alias("chars"), F.count("*").alias("of"))
                    .withColumn("node", F.monotonically_increasing_id()))
     hashes = nodes.select("node", "sim", "chars")
     share = hashes.filter(F.pmod(F.xxhash64("node"), F.lit(CROWD_SHARE)) == 0)
@@ -278,9 +298,11 @@ def _groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             roots = joined_components(roots, more)
     joined = nodes.join(roots.toDF("node", "root"), "node").select("root", "h1", "h2", "first")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    moved = joined.join(least, "root").select("h1", "h2", "least")
-    firsts = nodes.select("h1", "h2", "first").join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("first"))
-    return lines.select("id", "doc", "line", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "doc", "line", "first")
+    moved = joined.join(least, "root").select("h1", "h2", F.col("least").alias("known"))
+    # A line that occurs once and has no near ones is its own first, and needs no row to say so.
+    again = nodes.filter("of > 1").select("h1", "h2", "first").join(moved, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("known", "first").alias("known"))
+    own = F.struct("id", "line", "doc")
+    return lines.select("id", "doc", "line", "h1", "h2").join(again.hint("shuffle_hash"), ["h1", "h2"], "left").select("id", "doc", "line", F.coalesce("known", own).alias("first"))
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

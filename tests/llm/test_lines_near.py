@@ -5,10 +5,11 @@ from collections import Counter
 
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from arbormetric.llm import components as components_module, lines, near
 from arbormetric.llm.components import connected_components
-from arbormetric.llm.lines import BLOCKS, DISTANCE, SHARED, _edits_in_line, _lines, _simhash, _similar, line_groups, without_repeated_lines
+from arbormetric.llm.lines import BLOCKS, DISTANCE, SHARED, WORD, _edits_by_step, _edits_in_line, _lines, _simhash, _similar, line_groups, without_repeated_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -133,6 +134,47 @@ def test_similar_lines_are_told_by_their_edits(spark):
     assert all(r.most_in_line >= edits(r.text_a, r.text_b) for r in frame.withColumn("most_in_line", _edits_in_line()).collect())
 
 
+def test_gaps_in_several_places_need_no_edit_matrix(spark):
+    """Words found again a few words ahead tell pairs that lose words in both lines, from either side."""
+    rng, pairs = random.Random(12), []
+    for _ in range(30):
+        own = words(rng, 40)
+        one, other = own[:5] + own[6:25] + own[26:], own[:15] + own[16:33] + own[34:]
+        pairs.append((" ".join(one), " ".join(other)))
+    gaps = len(pairs)
+    pairs += [("a", "b c d"), ("b c d", "a"), ("a b", "b a"), ("a", "a"), ("x" * 3 * WORD, "x" * (3 * WORD - 1) + "y"), ("a " + "x" * 2 * WORD, "x" * 2 * WORD)]
+    for _ in range(60):
+        own = words(rng, rng.randrange(1, 30))
+        pairs.append((" ".join(own), " ".join(edited(rng, own, rng.randrange(1, 20)))))
+    rows = [(n, a, b, int(max(len(a), len(b)) * 0.2 + 1e-9)) for n, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "n int, text_a string, text_b string, most int")
+    got = {r.n: r for r in frame.select("n", "text_a", "text_b", "most", _edits_in_line().alias("line"), _edits_by_step().alias("step"), _similar().alias("similar")).collect()}
+    assert all(min(r.line, r.step) >= edits(r.text_a, r.text_b) for r in got.values())
+    assert all(r.similar == (edits(r.text_a, r.text_b) <= r.most) for r in got.values())
+    assert all(got[n].step <= got[n].most for n in range(gaps)) and sum(got[n].line > got[n].most for n in range(gaps)) > gaps / 2
+    # A long word's letters only count in the edit matrix, which is filled once.
+    assert got[gaps + 4].line == got[gaps + 4].step == 3 * WORD and got[gaps + 4].similar
+
+
+def test_only_lines_that_occur_again_look_up_their_first(spark, monkeypatch):
+    """The last join has a row for a line that is repeated or near another one, none for all others."""
+    rng, sizes = random.Random(14), []
+    base = words(rng, 24)
+    texts = [(n, " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(12))) for n in range(50)]
+    texts += [(60, "same line"), (61, " ".join(base)), (59, "Same, line!\n" + " ".join([*base[:9], "of", *base[9:]])), (58, " ".join(base) + "\nsame line")]
+    hint = DataFrame.hint
+
+    def counted(df, name, *more):
+        if df.columns == ["h1", "h2", "known"]:
+            sizes.append(df.count())
+        return hint(df, name, *more)
+
+    monkeypatch.setattr(DataFrame, "hint", counted)
+    got = {(r.id, r.line): tuple(r.first) for r in line_groups(docs_of(spark, texts)).collect()}
+    assert got == {(n, 0): (n, 0) for n in range(50)} | {(58, 0): (58, 0), (58, 1): (58, 1), (59, 0): (58, 1), (60, 0): (58, 1), (59, 1): (58, 0), (61, 0): (58, 0)}
+    assert sizes == [3]
+
+
 def test_fuzzy_links_are_complete(spark):
     """All pairs that share blocks, are within the distance and the similarity are in one group."""
     rng = random.Random(5)
