@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from arbormetric.llm.tables import discard, fresh, small, stored, table
+from arbormetric.llm.tables import discard, fresh, stored, stored_and_seen, stored_small, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that a failing start is given up at once: runs are taken
@@ -116,23 +116,31 @@ def _contexts(rows: DataFrame, spans: str, seed: bool) -> DataFrame:
 
 
 def _pattern_scores(graph: DataFrame, settled: float) -> DataFrame:
-    """``pattern, kind, seeds, score`` once no score rises by ``settled`` any more. Scores start from the
-    seeds alone and only rise, so that this ends."""
-    of = graph.groupBy("pattern").agg(F.count("*").alias("of"))
-    # Only instances that are not seeds change; what the seeds give a pattern is summed up once.
-    fixed = stored(graph.groupBy("pattern", "kind").agg(F.sum(F.col("seed").cast("double")).alias("seeds")).join(of, "pattern"))
-    loose = stored(graph.filter(~F.col("seed")).select("pattern", "instance", "kind"))
-    scores = stored(fixed.select("pattern", "kind", "seeds", (F.col("seeds") / F.col("of")).alias("score"), F.lit(1.0).alias("rise")))
-    while scores.filter(F.col("rise") > settled).limit(1).count():
-        known = scores.select("pattern", "kind", F.col("score").alias("old"))
-        instances = loose.join(scores, ["pattern", "kind"]).groupBy("instance").agg(F.avg("score").alias("of_instance"))
-        given = loose.join(instances, "instance").groupBy("pattern", "kind").agg(F.sum("of_instance").alias("given"))
-        score = (F.col("seeds") + F.coalesce("given", F.lit(0.0))) / F.col("of")
-        newer = stored(fixed.join(given, ["pattern", "kind"], "left").join(known, ["pattern", "kind"])
-                       .select("pattern", "kind", "seeds", score.alias("score"), (score - F.col("old")).alias("rise")))
-        discard(scores)
-        scores = newer
-    return scores.select("pattern", "kind", "seeds", "score")
+    """``pattern, kind, seeds, loose, score`` once no score rises by ``settled`` any more; ``loose``
+    tells patterns of instances that are no seeds. Scores start from the seeds alone and only rise, so that this ends."""
+    counts = graph.groupBy("pattern", "kind").agg(F.sum(F.col("seed").cast("double")).alias("seeds"), F.count("*").alias("n"))
+    fixed = counts.withColumn("of", F.sum("n").over(Window.partitionBy("pattern")))
+    # Only instances that are not seeds change; what the seeds give a pattern is summed up once, and
+    # patterns of seeds alone stay as they are.
+    fixed = stored(fixed.select("pattern", "kind", "seeds", "of", (F.col("seeds") < F.col("n")).alias("loose"), (F.col("seeds") / F.col("of")).alias("score")))
+    edges, seen = stored_and_seen(graph.filter(~F.col("seed")).select("pattern", "instance", "kind"), left=F.count("*"))
+    out = ["pattern", "kind", "seeds", "loose", "score"]
+    if not seen["left"]:
+        return fixed.select(*out)
+    known, rounds, rise = fixed.filter("loose").select("pattern", "kind", "seeds", "of", "score"), None, None
+    while rise is None or rise > settled:
+        instances = edges.join(known.select("pattern", "kind", "score"), ["pattern", "kind"]).groupBy("instance").agg(F.avg("score").alias("given"))
+        given = edges.join(instances, "instance").select("pattern", "kind", "given")
+        # Old and new meet in one aggregation: no further join, and no table to send to every executor.
+        both = known.unionByName(given, allowMissingColumns=True).groupBy("pattern", "kind").agg(
+            *(F.max(c).alias(c) for c in ("seeds", "of")), F.max("score").alias("old"), F.sum("given").alias("given"))
+        newer = both.select("pattern", "kind", "seeds", "of", ((F.col("seeds") + F.col("given")) / F.col("of")).alias("score"), "old")
+        known, seen = stored_and_seen(newer, rise=F.max(F.col("score") - F.col("old")))
+        rise, known = seen["rise"], known.drop("old")
+        if rounds is not None:
+            discard(rounds)
+        rounds = known
+    return known.withColumn("loose", F.lit(True)).select(*out).union(fixed.filter("NOT loose").select(*out))
 
 
 def confident_patterns(graph: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, settled: float = SETTLED) -> DataFrame:
@@ -146,13 +154,12 @@ def confident_patterns(graph: DataFrame, confidence: float = CONFIDENCE, support
     """
     graph, taken = stored(graph), -1
     while True:
-        chosen = stored(_pattern_scores(graph, settled).filter((F.col("seeds") >= support) & (F.col("score") >= confidence)).select("pattern", "kind"))
-        before, taken = taken, chosen.count()
-        if taken == before:
-            return chosen
-        promoted = graph.filter(~F.col("seed")).join(chosen, ["pattern", "kind"], "left_semi").select("instance", F.lit(True).alias("new")).distinct()
-        if not promoted.limit(1).count():
-            return chosen
+        scores = _pattern_scores(graph, settled).filter((F.col("seeds") >= support) & (F.col("score") >= confidence))
+        chosen, seen = stored_and_seen(scores.select("pattern", "kind", "loose"), taken=F.count("*"), loose=F.count_if("loose"))
+        before, taken = taken, seen["taken"]
+        if taken == before or not seen["loose"]:
+            return chosen.select("pattern", "kind")
+        promoted = graph.filter(~F.col("seed")).join(chosen.filter("loose"), ["pattern", "kind"], "left_semi").select("instance", F.lit(True).alias("new")).distinct()
         newer = stored(graph.join(promoted, "instance", "left").select("pattern", "instance", "kind", (F.col("seed") | F.coalesce("new", F.lit(False))).alias("seed")))
         discard(graph)
         graph = newer
@@ -170,11 +177,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = stored(occurrences(docs.select("id", F.coalesce("text", F.lit("")).alias("text"))))
     loose = stored(_contexts(rows, "loose", False))
     edges = ["pattern", "instance", "kind", "seed"]
-    graph = stored(loose.select(*edges).union(_contexts(rows, "base", True).select(*edges)).distinct())
-    patterns = stored(confident_patterns(graph).join(loose.select("pattern", "kind").distinct(), ["pattern", "kind"], "left_semi"))
+    graph = loose.select(*edges).union(_contexts(rows, "base", True).select(*edges)).distinct()
+    patterns = stored_small(confident_patterns(graph).join(loose.select("pattern", "kind").distinct(), ["pattern", "kind"], "left_semi"))
     place = F.struct("kind", "start", "end")
-    found = (loose.join(small(patterns), ["pattern", "kind"]).groupBy("id", "h").agg(F.collect_set(place).alias("found")))
-    found = small(stored(found))
+    found = stored_small(loose.join(patterns, ["pattern", "kind"]).groupBy("id", "h").agg(F.collect_set(place).alias("found")))
     rows = rows.withColumnsRenamed({"id": "own", "h": "own_h"}).join(
         found, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h")), "left").select("own", "own_h", "base", "found")
     plain = lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"))
@@ -195,9 +201,9 @@ def masked(docs: DataFrame) -> DataFrame:
     stay as they are."""
     found = find_personal_data(docs.select(F.col("doc_id").alias("id"), "text"))
     own, key, h, spans, masked_text = fresh(docs, "own_hash", "of_id", "of_hash", "found_spans", "masked_text")
-    found = stored(found.filter(F.size("spans") > 0).select(F.col("id").alias(key), F.col("h").alias(h), F.col("spans").alias(spans)).distinct())
+    found = stored_small(found.filter(F.size("spans") > 0).select(F.col("id").alias(key), F.col("h").alias(h), F.col("spans").alias(spans)).distinct())
     rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(small(found), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(h)), "left")
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(h)), "left")
     text = F.expr(f"""
       concat_ws('', aggregate(
         array_sort(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),

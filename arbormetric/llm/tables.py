@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Rows of two numbers up to which a side may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -39,6 +39,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_and_seen(df: DataFrame, **of: Column) -> tuple[DataFrame, dict]:
+    """``stored(df)``, and the aggregates ``of`` its rows, which the write itself finds: no job reads
+    the files for them."""
+    seen = Observation()
+    return stored(df.observe(seen, *(column.alias(name) for name, column in of.items()))), seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``stored`` that a newer one replaces."""
     sc = df.sparkSession.sparkContext
@@ -53,6 +60,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def stored_small(df: DataFrame) -> DataFrame:
+    """``small(stored(df))`` whose rows are counted as they are written."""
+    rows, seen = stored_and_seen(df, rows=F.count("*"))
+    return F.broadcast(rows) if seen["rows"] <= BROADCAST_ROWS else rows
+
+
 def byte_runs(texts: pa.Array, most: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
     """Places of runs of rows with about ``most`` bytes of text, and ``rows`` rows, at most; a longer
     text is a run of its own."""

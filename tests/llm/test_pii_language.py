@@ -94,6 +94,45 @@ def test_pattern_scores(spark):
     assert [tuple(r) for r in got] == [("p", "ip")]
 
 
+def settled_patterns(edges, confidence=0.8, support=5, settled=1e-3):
+    """Patterns taken and rounds of scores, without Spark."""
+    edges, taken, rounds = set(edges), -1, 0
+    while True:
+        keys, of = {(p, k) for p, _, k, _ in edges}, {}
+        for p, *_ in edges:
+            of[p] = of.get(p, 0) + 1
+        seeds = {key: sum(s for p, _, k, s in edges if (p, k) == key) for key in keys}
+        score, rise = {key: seeds[key] / of[key[0]] for key in keys}, 1
+        while rise > settled:
+            beside = {}
+            for p, i, k, s in edges:
+                if not s:
+                    beside.setdefault(i, []).append(score[p, k])
+            newer = {key: (seeds[key] + sum(sum(beside[i]) / len(beside[i]) for p, i, k, s in edges if (p, k) == key and not s)) / of[key[0]] for key in keys}
+            rise, score, rounds = max(newer[key] - score[key] for key in keys), newer, rounds + 1
+        chosen = {key for key in keys if seeds[key] >= support and score[key] >= confidence}
+        promoted = {i for p, i, k, s in edges if not s and (p, k) in chosen}
+        if len(chosen) == taken or not promoted:
+            return chosen, rounds
+        taken, edges = len(chosen), {(p, i, k, s or i in promoted) for p, i, k, s in edges}
+
+
+def test_rounds_of_scores_take_few_jobs(spark):
+    """Every job, and every table sent to all executors, leaves something in the driver's memory."""
+    edges = {(f"p{i // 8}", i, "ip", i % 4 > 0) for i in range(24)} | {(f"q{i % 3}", i, "ip", i % 4 > 0) for i in range(0, 24, 2)} | {("p0", 99, "card", True)}
+    want, rounds = settled_patterns(edges)
+    frame = spark.createDataFrame(sorted(edges), "pattern string, instance long, kind string, seed boolean")
+    spark.sparkContext.setJobGroup("scores", "rounds of scores")
+    try:
+        got = {tuple(r) for r in confident_patterns(frame).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scores"))
+    assert got == want and rounds == 8
+    assert jobs <= 9 * rounds, jobs
+
+
 def test_language_stage_judges_texts_of_one_id_apart(spark):
     good, bad = "the house and the water over the hill with the old tree " * 8, "zqx wvk " * 3
     rows = [(i, good, "en", "s", 1) for i in range(12)] + [(None, good, "en", "s", 1), (None, "жизнь и вода " * 40, None, None, 1), (3, "жизнь и вода " * 40, None, None, 1)]
